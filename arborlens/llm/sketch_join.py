@@ -5,8 +5,9 @@ Hamming distance between two sketches needs at least one shingle that only one s
 never exceeds the symmetric difference. Two sets of joint size S with Jaccard index >= t differ in at most
 k = floor(S * (1 - t) / (1 + t)) shingles. Documents are put in bands of similar size; in a band the sketch
 is cut into k + 1 + e parts of 64 bits, so at least 1 + e parts of a linked pair are equal (pigeonhole), and
-equal parts are joined. A part without shingles says little and is a key only for documents with more than e
-such parts, for which it may be the one that counts. Candidates are verified on the sets themselves.
+equal parts are joined. A part of at most one shingle says little (many documents share a passage) and is a key
+only for documents with more than e such parts, for which it may be the one that counts. Candidates whose whole
+sketches differ in too many bits go; the others are verified on the sets themselves.
 
 Equal sets are linked without the join. Of a key that many documents share, each is compared with the
 key's smallest one first; then the documents of smaller components are compared with all others of the key,
@@ -26,10 +27,13 @@ SMALL_GROUP = 8
 #: Documents of one flush with a common key from which only the first goes to the shuffle.
 LOCAL_GROUP = 64
 FLUSH_BYTES = 8 << 20
-SKETCH_WORDS = 16
+#: Bytes of the small sketch that rows of frequent keys carry; whole sketches have one to two bits per shingle.
+MINI_BYTES, LEAST_BYTES, MOST_BYTES = 32, 32, 1 << 16
 #: Ids of documents to verify up to which they are broadcast (8 MB); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-BAND = 1.6
+BAND = 1.25
+#: Share of parts beyond k + 1.
+SPARE = 0.12
 
 
 def max_difference(total, num: int, den: int):
@@ -44,6 +48,29 @@ def band_edges(limit: int) -> list[int]:
     return edges
 
 
+def parity_sketch(mixed, n_bytes: int) -> bytes:
+    """XOR of one bit per shingle. Bits are numbered by the low bits of the hash, so halves XOR to the smaller sketch."""
+    import numpy as np
+
+    bit = (mixed & np.uint64(8 * n_bytes - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=8 * n_bytes) & 1).astype(np.uint8)).tobytes()
+
+
+def sketch_bytes(n: int) -> int:
+    return min(MOST_BYTES, max(LEAST_BYTES, 1 << max(0, (n - 1).bit_length() - 3)))
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """Hamming distance of two sketches, the larger one folded to the size of the smaller."""
+    a, b = (x, y) if len(x) <= len(y) else (y, x)
+    left, right = int.from_bytes(a, "big"), int.from_bytes(b, "big")
+    size = 8 * len(b)
+    while size > 8 * len(a):
+        size //= 2
+        right = (right >> size) ^ (right & ((1 << size) - 1))
+    return (left ^ right).bit_count()
+
+
 def part_keys(shingles, num: int, den: int):
     """Join keys (uint64) of a sorted set of shingle hashes, for its own band and the bands of larger partners."""
     import bisect
@@ -60,15 +87,18 @@ def part_keys(shingles, num: int, den: int):
     high = shingles >> np.uint64(32)
     while edges[band] <= n * den // num:
         k = max_difference(2 * (edges[band + 1] - 1), num, den)
-        spare = k // 16
+        spare = int(SPARE * k + 0.999) if k > 2 else 0
         parts = k + 1 + spare
         part = (high * np.uint64(parts)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         words = np.bitwise_xor.reduceat(bits, starts)
         have = part[starts]
-        if parts - len(starts) > spare:
+        full = np.diff(np.append(starts, n)) > 1
+        if parts - int(full.sum()) > spare:  # the weak parts may be all that a partner shares
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), have, assume_unique=True)
             have, words = np.concatenate((have, empty)), np.concatenate((words, np.zeros(len(empty), dtype=np.uint64)))
+        else:
+            have, words = have[full], words[full]
         out.append(mix64(words ^ mix64(have + np.uint64(band << 40) + np.uint64(1))))
         band += 1
     return np.concatenate(out)
@@ -83,7 +113,7 @@ def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int)
 
         from arborlens.llm.common import mix64, shingle_hashes, word_hashes
 
-        schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary()), ("bucket", pa.int32()), ("keys", pa.binary()), ("at", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("hot", pa.binary())])
+        schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary()), ("mini", pa.binary()), ("bucket", pa.int32()), ("keys", pa.binary()), ("at", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("hot", pa.binary())])
         names = schema.names
 
         def rows(found):
@@ -128,11 +158,10 @@ def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int)
                 if not n:
                     info.append({"kind": 0, "id": i, "n": 0})
                     continue
+                mixed = mix64(s)
                 with np.errstate(over="ignore"):
-                    d1, d2 = int(mix64(s).sum().view(np.int64)), int(mix64(s ^ np.uint64(0xA24BAED4963EE407)).sum().view(np.int64))
-                bit = (mix64(s) & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64)
-                sketch = np.packbits((np.bincount(bit, minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)).tobytes()
-                info.append({"kind": 0, "id": i, "n": n, "d1": d1, "d2": d2, "sketch": sketch})
+                    d1, d2 = int(mixed.sum().view(np.int64)), int(mix64(s ^ np.uint64(0xA24BAED4963EE407)).sum().view(np.int64))
+                info.append({"kind": 0, "id": i, "n": n, "d1": d1, "d2": d2, "sketch": parity_sketch(mixed, sketch_bytes(n)), "mini": parity_sketch(mixed, MINI_BYTES)})
                 if i is not None and (d1, d2, n) not in seen:  # equal sets of a flush send their keys once
                     seen[(d1, d2, n)] = i
                     held.append((i, n, part_keys(s, num, den)))
@@ -147,7 +176,7 @@ def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int)
         if held:
             yield flush(held)
 
-    return source.mapInArrow(run, "kind int, id long, n long, d1 long, d2 long, sketch binary, bucket int, keys binary, at binary, ids binary, sizes binary, hot binary")
+    return source.mapInArrow(run, "kind int, id long, n long, d1 long, d2 long, sketch binary, mini binary, bucket int, keys binary, at binary, ids binary, sizes binary, hot binary")
 
 
 def _candidates(blobs: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
@@ -256,18 +285,36 @@ def _verified(pairs: DataFrame, source: DataFrame, width: int, num: int, den: in
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _near(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sizes and whole sketches allow a link: a fraction of a byte per shingle is moved, not the sets."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            na, nb, x, y = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
+            keep = pa.array([sketch_distance(*two) <= max_difference(i + j, num, den) for i, j, *two in zip(na, nb, x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    left = pairs.join(info.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x")), "a")
+    both = left.join(info.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y")), "b")
+    return both.where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
 def _across(hot: DataFrame, info: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of a frequent key that lie in different components: all rows of all but the key's largest component
-    against every row, where sizes and sketches allow a link."""
-    known = hot.distinct().join(info, "id").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    known = cut(known.select("key", "id", "n", "sketch", "comp"))
+    against every row, where sizes and small sketches allow a link."""
+    words = range(MINI_BYTES // 8)
+    mini = [F.expr(f"cast(conv(hex(substring(mini, {8 * k + 1}, 8)), 16, -10) as long)").alias(f"m{k}") for k in words]
+    known = hot.distinct().join(info.select("id", "n", *mini), "id").join(comps.withColumnRenamed("node", "id"), "id", "left")
+    known = cut(known.select("key", "id", "n", *(f"m{k}" for k in words), F.coalesce("component", "id").alias("comp")))
     counted = known.groupBy("key", "comp").agg(F.count("*").alias("c"))
     top = counted.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("t"), F.count("*").alias("k")).where("k > 1").select("key", F.col("t.comp").alias("top"))
     rows = known.join(top, "key")
-    left = rows.where("comp <> top").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("comp").alias("ca"))
-    right = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("comp").alias("cb"), "top")
-    near = f"aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= ((na + nb) * {den - num}) div {den + num}"
-    met = left.join(right, "key").where(f"ca <> cb and (cb = top or a < b) and least(na, nb) * {den} >= greatest(na, nb) * {num} and {near}")
+    left = rows.where("comp <> top").select("key", F.col("id").alias("a"), F.col("n").alias("na"), *(F.col(f"m{k}").alias(f"x{k}") for k in words), F.col("comp").alias("ca"))
+    right = rows.select(F.col("key").alias("key_b"), F.col("id").alias("b"), F.col("n").alias("nb"), *(F.col(f"m{k}").alias(f"y{k}") for k in words), F.col("comp").alias("cb"), "top")
+    near = f"{' + '.join(f'bit_count(x{k} ^ y{k})' for k in words)} <= ((na + nb) * {den - num}) div {den + num}"
+    met = left.join(right, F.expr(f"key = key_b and ca <> cb and (cb = top or a < b) and least(na, nb) * {den} >= greatest(na, nb) * {num} and {near}"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
@@ -292,13 +339,13 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     filled = info.where("n > 0 and id is not null")
     classes = filled.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1")
     copies = filled.join(classes, ["n", "d1", "d2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    edges = cut(copies.unionByName(_verified(pairs, source, width, num, den)))
+    sketches = signed.where("kind = 0 and n > 0 and id is not null").select("id", "n", "sketch", "mini")
+    near = cut(_near(pairs, sketches, num, den))
+    edges = cut(copies.unionByName(_verified(near, source, width, num, den)))
     comps = connected_components(edges)
     hot = found.where("key is not null").select(F.col("a").alias("id"), "key").unionByName(_unpacked(signed.where("kind = 3"), "ids", "keys", ("id", "key")))
     if not hot.isEmpty():
-        words = F.expr(f"transform(sequence(0, {SKETCH_WORDS - 1}), k -> cast(conv(hex(substring(sketch, 8 * k + 1, 8)), 16, -10) as long))")
-        sketches = signed.where("kind = 0 and n > 0").select("id", "n", words.alias("sketch")).dropDuplicates(["id", "n"])
-        more = cut(_across(hot, sketches, comps, num, den).join(pairs, ["a", "b"], "left_anti"))
+        more = cut(_near(_across(hot, sketches, comps, num, den).join(pairs, ["a", "b"], "left_anti"), sketches, num, den))
         if not more.isEmpty():
             edges = cut(edges.unionByName(_verified(more, source, width, num, den)))
             comps = connected_components(edges)
