@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from arborlens.llm.common import cut
 from arborlens.llm.components import connected_components
@@ -126,14 +127,32 @@ def search_range(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, th
 
 
 def _usable(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), v.alias("v"))
-    fine = "id is not null and label is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
-    rows = rows.where(fine)
-    # Scaled by the largest component first, so squares neither vanish nor overflow.
-    rows = rows.withColumn("_m", F.expr("aggregate(v, double(0), (s, x) -> greatest(s, abs(x)))"))
-    rows = rows.withColumn("v", F.expr("transform(v, x -> x / _m)")).withColumn("_l", F.expr("sqrt(aggregate(v, double(0), (s, x) -> s + x * x))"))
-    return rows.select("id", "label", F.expr("transform(v, x -> x / _l)").alias("v"), F.size("v").alias("dim"))
+    """(id, label, dim, v) of the vectors that can be compared; v holds the unit vector's doubles as bytes."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and label is not null and size(v) > 0")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep, dims, units = [], [], []
+            vectors = batch.column(2)
+            ends, flat = np.asarray(vectors.offsets), vectors.values
+            holes = np.asarray(flat.is_null())
+            numbers = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+            for i in range(batch.num_rows):
+                a, b = ends[i], ends[i + 1]
+                x = numbers[a:b]
+                top = np.abs(x).max()
+                ok = np.isfinite(top) and top > 0 and not holes[a:b].any()
+                keep.append(bool(ok))
+                if ok:
+                    x = x / top  # first, so squares neither vanish nor overflow
+                    dims.append(len(x))
+                    units.append((x / np.sqrt(x @ x)).tobytes())
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], names=["id", "label", "dim", "v"])
+
+    return rows.mapInArrow(run, f"id long, label {dict(rows.dtypes)['label']}, dim int, v binary")
 
 
 def embedding_components(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93) -> DataFrame:
@@ -145,7 +164,7 @@ def embedding_components(df: DataFrame, *, id_col: str = "vec_id", vector_col: s
     vectors. An empty table gives an empty result. Other columns are not read.
     """
     spark = df.sparkSession
-    rows = _usable(df, id_col, vector_col, label_col)
+    rows = cut(_usable(df, id_col, vector_col, label_col))
     groups = rows.groupBy("label", "dim", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     nodes = cut(groups.withColumn("node", F.xxhash64("label", "dim", "v")))
     counts = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).collect()  # a row per label
@@ -153,10 +172,9 @@ def embedding_components(df: DataFrame, *, id_col: str = "vec_id", vector_col: s
     # Pivots: the first vectors of each label in the order of their hash, one per SHARD vectors.
     share = min(1.0 / SHARD, MAX_PIVOTS / 2 / max(total, 1))
     ask = {(r["label"], r["dim"]): max(1, round(r["n"] * share)) for r in counts}
-    most = max(ask.values(), default=1)
-    from pyspark.sql.window import Window
-
-    cutoff = nodes.join(F.broadcast(spark.createDataFrame([(r["label"], r["dim"], ask[(r["label"], r["dim"])], min(1.0, 4.0 * ask[(r["label"], r["dim"])] / r["n"] + 32.0 / r["n"])) for r in counts], f"label {dict(nodes.dtypes)['label']}, dim int, ask long, p double")), ["label", "dim"]) if counts else None
+    limits = [(r["label"], r["dim"], ask[(r["label"], r["dim"])], min(1.0, 4.0 * ask[(r["label"], r["dim"])] / r["n"] + 32.0 / r["n"])) for r in counts]
+    kind = dict(nodes.dtypes)["label"]
+    cutoff = nodes.join(F.broadcast(spark.createDataFrame(limits, f"label {kind}, dim int, ask long, p double")), ["label", "dim"]) if counts else None
     pivots = []
     if cutoff is not None:
         # A thin slice by hash first, so ranking a large label moves a few rows.
@@ -165,7 +183,7 @@ def embedding_components(df: DataFrame, *, id_col: str = "vec_id", vector_col: s
         pivots = ranked.select("label", "dim", "r", "v").collect()  # at most about MAX_PIVOTS
     book: dict = {}
     for p in sorted(pivots, key=lambda p: (str(p["label"]), p["dim"], p["r"])):
-        book.setdefault((p["label"], p["dim"]), []).append(p["v"])
+        book.setdefault((p["label"], p["dim"]), []).append(np.frombuffer(p["v"]))
     base, shards = {}, 0
     for key, vs in book.items():
         base[key] = (shards, np.array(vs))
@@ -184,7 +202,7 @@ def embedding_components(df: DataFrame, *, id_col: str = "vec_id", vector_col: s
                 by.setdefault(key, []).append(i)
             for key, at in by.items():
                 first, centres = shared.value[key]
-                x = np.array([vs[i].as_py() for i in at])
+                x = np.array([np.frombuffer(vs[i].as_py()) for i in at])
                 s = x @ centres.T
                 k = min(OVERLAP, len(centres))
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
@@ -199,13 +217,11 @@ def embedding_components(df: DataFrame, *, id_col: str = "vec_id", vector_col: s
 
     dealt = nodes.select("label", "dim", "rep", "copies", "v").mapInArrow(deal, "shard long, own boolean, rep long, copies long, v binary")
     # A shard larger than a block (one cluster may hold a third of all vectors) is cut into blocks by a hash.
-    sizes = dealt.groupBy("shard").agg(F.count("*").alias("c"))
     dealt = cut(dealt)
     large = {r["shard"]: -(-r["c"] // BLOCK) for r in dealt.groupBy("shard").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).collect()}  # a row per pivot at most
-    del sizes
     blocks = F.lit(1)
     if large:
-        blocks = F.coalesce(F.element_at(F.create_map(*(F.lit(x).cast("long") for kv in large.items() for x in kv)), F.col("shard")), F.lit(1)) if len(large) else blocks
+        blocks = F.coalesce(F.element_at(F.create_map(*(F.lit(x).cast("long") for kv in large.items() for x in kv)), F.col("shard")), F.lit(1))
     dealt = dealt.withColumn("blocks", blocks.cast("long")).withColumn("block", F.pmod(F.xxhash64("rep", "v"), F.col("blocks")))
 
     def build(key, table):
@@ -292,13 +308,22 @@ def audit_recall(df: DataFrame, result: DataFrame, *, id_col: str = "vec_id", ve
     """
     spark = df.sparkSession
     rows = cut(_usable(df, id_col, vector_col, label_col))
-    queries = rows.where(F.col("id") % every == 0).select("id", "label", "v")
+    queries = rows.where(F.col("id") % every == 0)
     found = there = 0
     ids = [r["id"] for r in queries.select("id").distinct().orderBy("id").toLocalIterator()]
     for at in range(0, len(ids), 1000):
-        some = spark.createDataFrame([(i,) for i in ids[at : at + 1000]], "id long")
-        block = queries.join(F.broadcast(some), "id").select(F.col("id").alias("q"), F.col("label").alias("ql"), F.col("v").alias("qv"))
-        cos = "aggregate(zip_with(qv, v, (x, y) -> x * y), double(0), (s, x) -> s + x)"
-        there += rows.join(F.broadcast(block), F.expr(f"ql = label and q <> id and size(qv) = size(v) and {cos} >= {threshold}")).count()
-        found += result.join(F.broadcast(some), result[id_col] == some["id"]).agg(F.sum("n_links")).first()[0] or 0
+        block = spark.sparkContext.broadcast([(r["id"], r["label"], np.frombuffer(r["v"])) for r in queries.where(F.col("id").isin(ids[at : at + 1000])).collect()])
+
+        def count(batches, block=block):
+            import pyarrow as pa
+
+            for batch in batches:
+                n = 0
+                for i, label, v in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
+                    v = np.frombuffer(v)
+                    n += sum(label == ql and i != q and len(v) == len(qv) and float(v @ qv) >= threshold for q, ql, qv in block.value)
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+        there += rows.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+        found += result.where(F.col(id_col).isin(ids[at : at + 1000])).agg(F.sum("n_links")).first()[0] or 0
     return found, there
