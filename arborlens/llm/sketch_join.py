@@ -6,8 +6,9 @@ never exceeds the symmetric difference. Two sets of joint size S with Jaccard in
 k = floor(S * (1 - t) / (1 + t)) shingles. Documents are put in bands of similar size; in a band the sketch
 is cut into k + 1 + e parts of 64 bits, so at least 1 + e parts of a linked pair are equal (pigeonhole), and
 equal parts are joined. A part of at most one shingle says little (many documents share a passage) and is a key
-only for documents with more than e such parts, for which it may be the one that counts. Candidates whose whole
-sketches differ in too many bits go; the others are verified on the sets themselves.
+only for documents that have many of them; what is left suffices for c = 1 + e / 4 common keys of every linked
+pair, so fewer are no candidate. Candidates whose whole sketches differ in too many bits go; the others are
+verified on the sets themselves.
 
 Equal sets are linked without the join. Of a key that many documents share, each is compared with the
 key's smallest one first; then the documents of smaller components are compared with all others of the key,
@@ -33,7 +34,7 @@ MINI_BYTES, LEAST_BYTES, MOST_BYTES = 32, 32, 1 << 16
 BROADCAST_IDS = 1_000_000
 BAND = 1.25
 #: Share of parts beyond k + 1.
-SPARE = 0.12
+SPARE = 0.25
 
 
 def max_difference(total, num: int, den: int):
@@ -48,6 +49,12 @@ def band_edges(limit: int) -> list[int]:
     return edges
 
 
+def spare_and_need(k: int) -> tuple[int, int]:
+    """(parts beyond k + 1, common keys of every linked pair)."""
+    spare = int(SPARE * k) if k > 2 else 0
+    return spare, 1 + spare // 4
+
+
 def parity_sketch(mixed, n_bytes: int) -> bytes:
     """XOR of one bit per shingle. Bits are numbered by the low bits of the hash, so halves XOR to the smaller sketch."""
     import numpy as np
@@ -87,14 +94,14 @@ def part_keys(shingles, num: int, den: int):
     high = shingles >> np.uint64(32)
     while edges[band] <= n * den // num:
         k = max_difference(2 * (edges[band + 1] - 1), num, den)
-        spare = int(SPARE * k + 0.999) if k > 2 else 0
+        spare, need = spare_and_need(k)
         parts = k + 1 + spare
         part = (high * np.uint64(parts)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         words = np.bitwise_xor.reduceat(bits, starts)
         have = part[starts]
         full = np.diff(np.append(starts, n)) > 1
-        if parts - int(full.sum()) > spare:  # the weak parts may be all that a partner shares
+        if parts - int(full.sum()) > spare + 1 - need:  # the weak parts may be all that a partner shares
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), have, assume_unique=True)
             have, words = np.concatenate((have, empty)), np.concatenate((words, np.zeros(len(empty), dtype=np.uint64)))
         else:
@@ -222,13 +229,23 @@ def _candidates(blobs: DataFrame, num: int, den: int, buckets: int) -> DataFrame
         a, b = np.concatenate(a), np.concatenate(b)
         low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
         fit = (low * den >= high * num) & (ids[a] != ids[b])
-        pairs = np.unique(np.stack((np.minimum(ids[a[fit]], ids[b[fit]]), np.maximum(ids[a[fit]], ids[b[fit]]))), axis=1)
-        for left, right, key in ((pairs[0], pairs[1], None), (ids[large], None, keys[large].view(np.int64))):
+        a, b, low = a[fit], b[fit], low[fit]
+        # The pair's own least band tells how many common keys it has at least.
+        edges = np.array(band_edges(int(low.max(initial=1))))
+        needs = np.array([spare_and_need(max_difference(2 * (int(e) - 1), num, den))[1] for e in edges[1:]])
+        need = needs[np.searchsorted(edges, low, side="right") - 1]
+        first_id, second_id = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+        order = np.lexsort((second_id, first_id))
+        first_id, second_id, need = first_id[order], second_id[order], need[order]
+        starts = np.flatnonzero(np.concatenate(([True], (first_id[1:] != first_id[:-1]) | (second_id[1:] != second_id[:-1])))) if len(order) else order
+        hits = np.diff(np.append(starts, len(order)))
+        for left, right, key, h, k in ((first_id[starts], second_id[starts], None, hits, need[starts]), (ids[large], None, keys[large].view(np.int64), None, None)):
             for at in range(0, len(left), 100_000):
                 n = len(left[at : at + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(left[at : at + n], pa.int64()), pa.nulls(n, pa.int64()) if right is None else pa.array(right[at : at + n], pa.int64()), pa.nulls(n, pa.int64()) if key is None else pa.array(key[at : at + n], pa.int64())], names=["a", "b", "key"])
+                cols = [pa.nulls(n, pa.int64()) if c is None else pa.array(c[at : at + n], pa.int64()) for c in (left, right, key, h, k)]
+                yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "key", "hits", "need"])
 
-    return blobs.repartition(buckets, "bucket").mapInArrow(run, "a long, b long, key long")
+    return blobs.repartition(buckets, "bucket").mapInArrow(run, "a long, b long, key long, hits long, need long")
 
 
 def _unpacked(blobs: DataFrame, left: str, right: str, names: tuple[str, str]) -> DataFrame:
@@ -334,7 +351,9 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     info = signed.where("kind = 0").select("id", "n", "d1", "d2")
     found = cut(_candidates(signed.where("kind = 1").select("bucket", "keys", "at", "ids", "sizes", "hot"), num, den, buckets))
     local = _unpacked(signed.where("kind = 2"), "ids", "at", ("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = cut(found.where("key is null").select("a", "b").unionByName(local).distinct())
+    counted = found.where("key is null").groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need")
+    # A pair with too few counted keys may share a frequent key besides; such pairs are tried below.
+    pairs = cut(counted.select("a", "b").unionByName(local).distinct())
     # Equal sets: a star around the smallest id, from a combined aggregate.
     filled = info.where("n > 0 and id is not null")
     classes = filled.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1")
