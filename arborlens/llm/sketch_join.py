@@ -11,8 +11,10 @@ pair, so fewer are no candidate. Candidates whose whole sketches differ in too m
 verified on the sets themselves.
 
 Equal sets are linked without the join. Of a key that many documents share, each is compared with the
-key's smallest one first; then the documents of smaller components are compared with all others of the key,
-so no link between components is lost and a large group costs a star, not all its pairs.
+key's smallest one first. A document with few frequent keys in a band shares c rare ones with each partner that
+it meets there, which finds the link. Only where both of a pair have more, the documents of smaller components
+are compared with all others of the key; so no link between components is lost, a large group costs a star, not
+all its pairs, and a passage that many documents share costs nothing where it is a small part of them.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ BROADCAST_IDS = 1_000_000
 BAND = 1.25
 #: Share of parts beyond k + 1.
 SPARE = 0.25
+#: Low bits of a key that hold its band; 1.25 ** 128 shingles are out of reach.
+BAND_BITS = 7
 
 
 def max_difference(total, num: int, den: int):
@@ -79,7 +83,11 @@ def sketch_distance(x: bytes, y: bytes) -> int:
 
 
 def part_keys(shingles, num: int, den: int):
-    """Join keys (uint64) of a sorted set of shingle hashes, for its own band and the bands of larger partners."""
+    """Join keys (uint64) of a sorted set of shingle hashes, for its own band and the bands of larger partners.
+
+    Also returns its own band and, for it and each next one, how many of the keys may be frequent while the others
+    still hold the common keys that every linked pair has.
+    """
     import bisect
 
     import numpy as np
@@ -88,8 +96,9 @@ def part_keys(shingles, num: int, den: int):
 
     n = len(shingles)
     edges = band_edges(n * den // num + 1)
-    band = bisect.bisect_right(edges, n) - 1
-    out = []
+    own = band = bisect.bisect_right(edges, n) - 1
+    out, slack = [], []
+    low = np.uint64((1 << BAND_BITS) - 1)
     bits = np.left_shift(np.uint64(1), shingles & np.uint64(63))
     high = shingles >> np.uint64(32)
     while edges[band] <= n * den // num:
@@ -101,14 +110,17 @@ def part_keys(shingles, num: int, den: int):
         words = np.bitwise_xor.reduceat(bits, starts)
         have = part[starts]
         full = np.diff(np.append(starts, n)) > 1
-        if parts - int(full.sum()) > spare + 1 - need:  # the weak parts may be all that a partner shares
+        weak = parts - int(full.sum())
+        if weak > spare + 1 - need:  # the weak parts may be all that a partner shares
+            weak = 0
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), have, assume_unique=True)
             have, words = np.concatenate((have, empty)), np.concatenate((words, np.zeros(len(empty), dtype=np.uint64)))
         else:
             have, words = have[full], words[full]
-        out.append(mix64(words ^ mix64(have + np.uint64(band << 40) + np.uint64(1))))
+        slack.append(spare + 1 - need - weak)
+        out.append((mix64(words ^ mix64(have + np.uint64(band << 40) + np.uint64(1))) & ~low) | np.uint64(band))
         band += 1
-    return np.concatenate(out)
+    return np.concatenate(out), own, slack
 
 
 def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
@@ -120,7 +132,7 @@ def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int)
 
         from arborlens.llm.common import mix64, shingle_hashes, word_hashes
 
-        schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary()), ("mini", pa.binary()), ("bucket", pa.int32()), ("keys", pa.binary()), ("at", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("hot", pa.binary())])
+        schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary()), ("mini", pa.binary()), ("bucket", pa.int32()), ("keys", pa.binary()), ("at", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("hot", pa.binary()), ("band", pa.int32()), ("slack", pa.list_(pa.int32()))])
         names = schema.names
 
         def rows(found):
@@ -141,8 +153,8 @@ def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int)
             if many.any():
                 pairs = np.unique(np.stack((ids[at[first[many]]], ids[at[many]])), axis=1)
                 out.append({"kind": 2, "ids": pairs[0].tobytes(), "at": pairs[1].tobytes()})
-                out.append({"kind": 3, "ids": ids[at[many]].tobytes(), "keys": keys[many].tobytes()})
                 stay = ~many | (np.arange(len(keys)) == first)
+                out.append({"kind": 3, "ids": ids[at[~stay]].tobytes(), "keys": keys[~stay].tobytes()})
                 keys, at, many = keys[stay], at[stay], many[stay]
             bucket = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -171,7 +183,9 @@ def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int)
                 info.append({"kind": 0, "id": i, "n": n, "d1": d1, "d2": d2, "sketch": parity_sketch(mixed, sketch_bytes(n)), "mini": parity_sketch(mixed, MINI_BYTES)})
                 if i is not None and (d1, d2, n) not in seen:  # equal sets of a flush send their keys once
                     seen[(d1, d2, n)] = i
-                    held.append((i, n, part_keys(s, num, den)))
+                    keys, band, slack = part_keys(s, num, den)
+                    info[-1] |= {"band": band, "slack": slack}
+                    held.append((i, n, keys))
                     used += len(raw)
                     if used >= FLUSH_BYTES:
                         yield rows(info)
@@ -183,7 +197,7 @@ def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int)
         if held:
             yield flush(held)
 
-    return source.mapInArrow(run, "kind int, id long, n long, d1 long, d2 long, sketch binary, mini binary, bucket int, keys binary, at binary, ids binary, sizes binary, hot binary")
+    return source.mapInArrow(run, "kind int, id long, n long, d1 long, d2 long, sketch binary, mini binary, bucket int, keys binary, at binary, ids binary, sizes binary, hot binary, band int, slack array<int>")
 
 
 def _candidates(blobs: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
@@ -318,6 +332,19 @@ def _near(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
     return both.where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def _unsafe(hot: DataFrame, signed: DataFrame) -> DataFrame:
+    """The rows (id, key) of documents with more frequent keys in the key's band than their slack there.
+
+    The rows of one document and band are counted; a document has as many as it has parts at most. An id whose
+    rows differ is counted over all of them, which only adds rows.
+    """
+    band = F.expr(f"cast(key & {(1 << BAND_BITS) - 1} as int)").alias("at")
+    rows = hot.select("id", "key", band)
+    slack = signed.where("kind = 0 and slack is not null").select("id", "band", "slack")
+    many = rows.groupBy("id", "at").agg(F.count("*").alias("c")).join(slack, "id").where("c > get(slack, at - band)").select("id", "at").distinct()
+    return rows.join(many, ["id", "at"]).select("id", "key")
+
+
 def _across(hot: DataFrame, info: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of a frequent key that lie in different components: all rows of all but the key's largest component
     against every row, where sizes and small sketches allow a link."""
@@ -352,7 +379,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     found = cut(_candidates(signed.where("kind = 1").select("bucket", "keys", "at", "ids", "sizes", "hot"), num, den, buckets))
     local = _unpacked(signed.where("kind = 2"), "ids", "at", ("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     counted = found.where("key is null").groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need")
-    # A pair with too few counted keys may share a frequent key besides; such pairs are tried below.
+    # A pair with too few counted keys may share a frequent key besides; such pairs are tried below, if both are unsafe.
     pairs = cut(counted.select("a", "b").unionByName(local).distinct())
     # Equal sets: a star around the smallest id, from a combined aggregate.
     filled = info.where("n > 0 and id is not null")
@@ -363,11 +390,13 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     edges = cut(copies.unionByName(_verified(near, source, width, num, den)))
     comps = connected_components(edges)
     hot = found.where("key is not null").select(F.col("a").alias("id"), "key").unionByName(_unpacked(signed.where("kind = 3"), "ids", "keys", ("id", "key")))
+    hot = cut(_unsafe(hot, signed))
     if not hot.isEmpty():
         more = cut(_near(_across(hot, sketches, comps, num, den).join(pairs, ["a", "b"], "left_anti"), sketches, num, den))
         if not more.isEmpty():
             edges = cut(edges.unionByName(_verified(more, source, width, num, den)))
             comps = connected_components(edges)
     forget(found)
+    forget(hot)
     out = info.join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
