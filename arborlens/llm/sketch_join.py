@@ -7,7 +7,8 @@ k = floor(S * (1 - t) / (1 + t)) shingles. Documents are put in bands of similar
 is cut into k + 1 + e parts of 64 bits, so at least 1 + e parts of a linked pair are equal (pigeonhole), and
 equal parts are joined. A part of at most one shingle says little (many documents share a passage) and is a key
 only for documents that have many of them; what is left suffices for c = 1 + e / 4 common keys of every linked
-pair, so fewer are no candidate. Candidates whose whole sketches differ in too many bits go; the others are
+pair, so fewer are no candidate. A small sketch travels with the keys, so most pairs of documents that only share a
+passage go where their keys meet. Candidates whose whole sketches differ in too many bits go next; the others are
 verified on the sets themselves.
 
 Equal sets are linked without the join. Of a key that many documents share, each is compared with the
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from arborlens.llm.common import cut, forget
 from arborlens.llm.components import connected_components
@@ -30,7 +32,7 @@ SMALL_GROUP = 8
 #: Documents of one flush with a common key from which only the first goes to the shuffle.
 LOCAL_GROUP = 64
 FLUSH_BYTES = 8 << 20
-#: Bytes of the small sketch that rows of frequent keys carry; whole sketches have one to two bits per shingle.
+#: Bytes of the small sketch that keys carry; whole sketches have one to two bits per shingle.
 MINI_BYTES, LEAST_BYTES, MOST_BYTES = 32, 32, 1 << 16
 #: Ids of documents to verify up to which they are broadcast (8 MB); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -124,7 +126,10 @@ def part_keys(shingles, num: int, den: int):
 
 
 def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
-    """One pass over the texts: a row per document (kind 0), and per flush the keys by bucket (1), pairs (2) and rows of frequent keys (3)."""
+    """One pass over the texts: a row per document (kind 0), and per flush the keys by bucket (1), pairs (2) and rows of frequent keys (3).
+
+    Rows without keys are dealt to the buckets in turn.
+    """
 
     def run(batches):
         import numpy as np
@@ -132,17 +137,24 @@ def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int)
 
         from arborlens.llm.common import mix64, shingle_hashes, word_hashes
 
-        schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary()), ("mini", pa.binary()), ("bucket", pa.int32()), ("keys", pa.binary()), ("at", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("hot", pa.binary()), ("band", pa.int32()), ("slack", pa.list_(pa.int32()))])
+        schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary()), ("mini", pa.binary()), ("bucket", pa.int32()), ("keys", pa.binary()), ("at", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("hot", pa.binary()), ("minis", pa.binary()), ("band", pa.int32()), ("slack", pa.list_(pa.int32()))])
         names = schema.names
+        dealt = 0
 
         def rows(found):
+            nonlocal dealt
+            for r in found:
+                if "bucket" not in r:
+                    r["bucket"] = dealt % buckets
+                    dealt += 1
             return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in found], schema.field(c).type) for c in names], schema=schema)
 
         def flush(held):
-            keys = np.concatenate([k for _, _, k in held])
-            at = np.repeat(np.arange(len(held), dtype=np.int32), [len(k) for _, _, k in held])
-            ids = np.array([i for i, _, _ in held], dtype=np.int64)
-            sizes = np.array([n for _, n, _ in held], dtype=np.int32)
+            keys = np.concatenate([k for _, _, k, _ in held])
+            at = np.repeat(np.arange(len(held), dtype=np.int32), [len(k) for _, _, k, _ in held])
+            ids = np.array([i for i, _, _, _ in held], dtype=np.int64)
+            sizes = np.array([n for _, n, _, _ in held], dtype=np.int32)
+            minis = np.frombuffer(b"".join(m for _, _, _, m in held), dtype=np.uint64).reshape(len(held), -1)
             order = np.lexsort((ids[at], keys))
             keys, at = keys[order], at[order]
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -163,7 +175,7 @@ def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int)
                 rows_here = order[cuts[b] : cuts[b + 1]]
                 if len(rows_here):
                     used, where = np.unique(at[rows_here], return_inverse=True)
-                    out.append({"kind": 1, "bucket": b, "keys": keys[rows_here].tobytes(), "at": where.astype(np.int32).tobytes(), "ids": ids[used].tobytes(), "sizes": sizes[used].tobytes(), "hot": np.packbits(many[rows_here]).tobytes()})
+                    out.append({"kind": 1, "bucket": b, "keys": keys[rows_here].tobytes(), "at": where.astype(np.int32).tobytes(), "ids": ids[used].tobytes(), "sizes": sizes[used].tobytes(), "hot": np.packbits(many[rows_here]).tobytes(), "minis": minis[used].tobytes()})
             return rows(out)
 
         held, seen, used = [], {}, 0
@@ -185,7 +197,7 @@ def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int)
                     seen[(d1, d2, n)] = i
                     keys, band, slack = part_keys(s, num, den)
                     info[-1] |= {"band": band, "slack": slack}
-                    held.append((i, n, keys))
+                    held.append((i, n, keys, info[-1]["mini"]))
                     used += len(raw)
                     if used >= FLUSH_BYTES:
                         yield rows(info)
@@ -197,25 +209,38 @@ def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int)
         if held:
             yield flush(held)
 
-    return source.mapInArrow(run, "kind int, id long, n long, d1 long, d2 long, sketch binary, mini binary, bucket int, keys binary, at binary, ids binary, sizes binary, hot binary, band int, slack array<int>")
+    return source.mapInArrow(run, "kind int, id long, n long, d1 long, d2 long, sketch binary, mini binary, bucket int, keys binary, at binary, ids binary, sizes binary, hot binary, minis binary, band int, slack array<int>")
 
 
-def _candidates(blobs: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
-    """Pairs (a, b) that share a key, and rows (a, key) of the keys that too many share. One partition holds whole keys."""
+def _candidates(signed: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
+    """The signatures without their keys by bucket, and in place of those: pairs (id, b) that share a key (kind 4), and
+    rows (id, key) of the keys that too many share (kind 5). One partition holds whole keys; they are written
+    once, by the shuffle."""
+    kept = ["kind", "id", "n", "d1", "d2", "sketch", "mini", "keys", "at", "ids", "band", "slack"]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        got = [[], [], [], []]
+        got, minis, seen = [[], [], [], [], []], [], 0
         for batch in batches:
-            for keys, at, ids, sizes, hot in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("keys", "at", "ids", "sizes", "hot")), strict=True):
+            blob = pc.equal(batch.column("kind"), 1)
+            rest = batch.filter(pc.invert(blob)).select(kept)
+            if rest.num_rows:
+                none = pa.nulls(rest.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*rest.columns, none, none, none, none], names=[*kept, "b", "key", "hits", "need"])
+            batch = batch.filter(blob)
+            for keys, at, ids, sizes, hot, mini in zip(*(batch.column(c).to_pylist() for c in ("keys", "at", "ids", "sizes", "hot", "minis")), strict=True):
                 k = np.frombuffer(keys, dtype=np.uint64)
                 at = np.frombuffer(at, dtype=np.int32)
                 got[0].append(k)
                 got[1].append(np.frombuffer(ids, dtype=np.int64)[at])
                 got[2].append(np.frombuffer(sizes, dtype=np.int32)[at])
                 got[3].append(np.unpackbits(np.frombuffer(hot, dtype=np.uint8), count=len(k)).astype(bool))
+                minis.append(np.frombuffer(mini, dtype=np.uint64).reshape(-1, MINI_BYTES // 8))
+                got[4].append(at + np.int32(seen))
+                seen += len(minis[-1])
         if not got[0]:
             return
         keys = np.concatenate(got[0])
@@ -225,9 +250,10 @@ def _candidates(blobs: DataFrame, num: int, den: int, buckets: int) -> DataFrame
         twin = np.concatenate(([False], same)) | np.concatenate((same, [False])) | flags[order]
         order = order[twin]  # keys of one document go at once
         keys, ids, sizes, flags = keys[order], np.concatenate(got[1])[order], np.concatenate(got[2])[order].astype(np.int64), flags[order]
+        whose, minis = np.concatenate(got[4])[order], np.concatenate(minis)
         got.clear()
         order = np.lexsort((ids, keys))
-        keys, ids, sizes, flags = keys[order], ids[order], sizes[order], flags[order]
+        keys, ids, sizes, flags, whose = keys[order], ids[order], sizes[order], flags[order], whose[order]
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, dtype=np.int64)
         runs = np.diff(np.append(starts, len(keys)))
         forced = np.logical_or.reduceat(flags, starts) if len(starts) else flags
@@ -243,6 +269,11 @@ def _candidates(blobs: DataFrame, num: int, den: int, buckets: int) -> DataFrame
         a, b = np.concatenate(a), np.concatenate(b)
         low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
         fit = (low * den >= high * num) & (ids[a] != ids[b])
+        a, b, low, high = a[fit], b[fit], low[fit], high[fit]
+        fit = np.ones(len(a), dtype=bool)
+        for at in range(0, len(a), 100_000):
+            x, y = (minis[whose[c[at : at + 100_000]]] for c in (a, b))
+            fit[at : at + 100_000] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= max_difference((low + high)[at : at + 100_000], num, den)
         a, b, low = a[fit], b[fit], low[fit]
         # The pair's own least band tells how many common keys it has at least.
         edges = np.array(band_edges(int(low.max(initial=1))))
@@ -253,13 +284,19 @@ def _candidates(blobs: DataFrame, num: int, den: int, buckets: int) -> DataFrame
         first_id, second_id, need = first_id[order], second_id[order], need[order]
         starts = np.flatnonzero(np.concatenate(([True], (first_id[1:] != first_id[:-1]) | (second_id[1:] != second_id[:-1])))) if len(order) else order
         hits = np.diff(np.append(starts, len(order)))
-        for left, right, key, h, k in ((first_id[starts], second_id[starts], None, hits, need[starts]), (ids[large], None, keys[large].view(np.int64), None, None)):
-            for at in range(0, len(left), 100_000):
-                n = len(left[at : at + 100_000])
-                cols = [pa.nulls(n, pa.int64()) if c is None else pa.array(c[at : at + n], pa.int64()) for c in (left, right, key, h, k)]
-                yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "key", "hits", "need"])
+        for made in ({"id": first_id[starts], "b": second_id[starts], "hits": hits, "need": need[starts]}, {"id": ids[large], "key": keys[large].view(np.int64)}):
+            for at in range(0, len(made["id"]), 100_000):
+                n = len(made["id"][at : at + 100_000])
+                here = {c: pa.array(v[at : at + n], pa.int64()) for c, v in made.items()}
+                here["kind"] = pa.array(np.full(n, 4 if "b" in made else 5, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([here[f.name] if f.name in here else pa.nulls(n, f.type) for f in out], schema=out)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return blobs.repartition(buckets, "bucket").mapInArrow(run, "a long, b long, key long, hits long, need long")
+    shape = StructType([f for f in signed.schema if f.name in kept] + [StructField(c, LongType()) for c in ("b", "key", "hits", "need")])
+    shape = StructType(sorted(shape, key=lambda f: [*kept, "b", "key", "hits", "need"].index(f.name)))
+    out = to_arrow_schema(shape)
+    return signed.repartition(buckets, "bucket").mapInArrow(run, shape)
 
 
 def _unpacked(blobs: DataFrame, left: str, right: str, names: tuple[str, str]) -> DataFrame:
@@ -374,11 +411,10 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    signed = cut(_signatures(source, width, num, den, buckets))
+    signed = cut(_candidates(_signatures(source, width, num, den, buckets), num, den, buckets))
     info = signed.where("kind = 0").select("id", "n", "d1", "d2")
-    found = cut(_candidates(signed.where("kind = 1").select("bucket", "keys", "at", "ids", "sizes", "hot"), num, den, buckets))
     local = _unpacked(signed.where("kind = 2"), "ids", "at", ("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    counted = found.where("key is null").groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need")
+    counted = signed.where("kind = 4").groupBy(F.col("id").alias("a"), "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need")
     # A pair with too few counted keys may share a frequent key besides; such pairs are tried below, if both are unsafe.
     pairs = cut(counted.select("a", "b").unionByName(local).distinct())
     # Equal sets: a star around the smallest id, from a combined aggregate.
@@ -389,14 +425,13 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     near = cut(_near(pairs, sketches, num, den))
     edges = cut(copies.unionByName(_verified(near, source, width, num, den)))
     comps = connected_components(edges)
-    hot = found.where("key is not null").select(F.col("a").alias("id"), "key").unionByName(_unpacked(signed.where("kind = 3"), "ids", "keys", ("id", "key")))
+    hot = signed.where("kind = 5").select("id", "key").unionByName(_unpacked(signed.where("kind = 3"), "ids", "keys", ("id", "key")))
     hot = cut(_unsafe(hot, signed))
     if not hot.isEmpty():
         more = cut(_near(_across(hot, sketches, comps, num, den).join(pairs, ["a", "b"], "left_anti"), sketches, num, den))
         if not more.isEmpty():
             edges = cut(edges.unionByName(_verified(more, source, width, num, den)))
             comps = connected_components(edges)
-    forget(found)
     forget(hot)
     out = info.join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
