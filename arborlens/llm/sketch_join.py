@@ -32,7 +32,7 @@ SMALL_GROUP = 8
 #: Documents of one flush with a common key from which only the first goes to the shuffle.
 LOCAL_GROUP = 64
 FLUSH_BYTES = 8 << 20
-#: Bytes of the small sketch that keys carry; whole sketches have one to two bits per shingle.
+#: Bytes of the small sketch that rows of frequent keys carry, keys carry no more; whole sketches have one to two bits per shingle.
 MINI_BYTES, LEAST_BYTES, MOST_BYTES = 32, 32, 1 << 16
 #: Ids of documents to verify up to which they are broadcast (8 MB); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -73,6 +73,13 @@ def sketch_bytes(n: int) -> int:
     return min(MOST_BYTES, max(LEAST_BYTES, 1 << max(0, (n - 1).bit_length() - 3)))
 
 
+def folded(words, n: int):
+    """Sketches of 64-bit words in the last axis, folded to ``n`` words; words that one lacks are zero."""
+    import numpy as np
+
+    return np.bitwise_xor.reduce(words.reshape(*words.shape[:-1], -1, n), axis=-2)
+
+
 def sketch_distance(x: bytes, y: bytes) -> int:
     """Hamming distance of two sketches, the larger one folded to the size of the smaller."""
     a, b = (x, y) if len(x) <= len(y) else (y, x)
@@ -84,6 +91,16 @@ def sketch_distance(x: bytes, y: bytes) -> int:
     return (left ^ right).bit_count()
 
 
+def mini_words(n, num: int, den: int):
+    """64-bit words of the sketch that goes with a document's keys: four bits or more for each shingle by which it may
+    differ from a partner of its size, at most ``MINI_BYTES``, and none where these are too few to tell (two sets
+    that have little in common differ in half of the bits)."""
+    import numpy as np
+
+    most, k = MINI_BYTES // 8, max_difference(2 * n, num, den)
+    return np.select([k < 16 * w for w in (1, 2)] + [k < 32 * most], [1, 2, most], 0)
+
+
 def part_keys(shingles, num: int, den: int):
     """Join keys (uint64) of a sorted set of shingle hashes, for its own band and the bands of larger partners.
 
@@ -154,7 +171,9 @@ def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int)
             at = np.repeat(np.arange(len(held), dtype=np.int32), [len(k) for _, _, k, _ in held])
             ids = np.array([i for i, _, _, _ in held], dtype=np.int64)
             sizes = np.array([n for _, n, _, _ in held], dtype=np.int32)
-            minis = np.frombuffer(b"".join(m for _, _, _, m in held), dtype=np.uint64).reshape(len(held), -1)
+            words = mini_words(sizes.astype(np.int64), num, den)
+            whole = np.frombuffer(b"".join(m for _, _, _, m in held), dtype=np.uint64).reshape(len(held), -1)
+            minis = [folded(m, w).tobytes() if w else b"" for m, w in zip(whole, words.tolist(), strict=True)]
             order = np.lexsort((ids[at], keys))
             keys, at = keys[order], at[order]
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -175,7 +194,7 @@ def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int)
                 rows_here = order[cuts[b] : cuts[b + 1]]
                 if len(rows_here):
                     used, where = np.unique(at[rows_here], return_inverse=True)
-                    out.append({"kind": 1, "bucket": b, "keys": keys[rows_here].tobytes(), "at": where.astype(np.int32).tobytes(), "ids": ids[used].tobytes(), "sizes": sizes[used].tobytes(), "hot": np.packbits(many[rows_here]).tobytes(), "minis": minis[used].tobytes()})
+                    out.append({"kind": 1, "bucket": b, "keys": keys[rows_here].tobytes(), "at": where.astype(np.int32).tobytes(), "ids": ids[used].tobytes(), "sizes": sizes[used].tobytes(), "hot": np.packbits(many[rows_here]).tobytes(), "minis": b"".join(minis[u] for u in used.tolist())})
             return rows(out)
 
         held, seen, used = [], {}, 0
@@ -238,9 +257,15 @@ def _candidates(signed: DataFrame, num: int, den: int, buckets: int) -> DataFram
                 got[1].append(np.frombuffer(ids, dtype=np.int64)[at])
                 got[2].append(np.frombuffer(sizes, dtype=np.int32)[at])
                 got[3].append(np.unpackbits(np.frombuffer(hot, dtype=np.uint8), count=len(k)).astype(bool))
-                minis.append(np.frombuffer(mini, dtype=np.uint64).reshape(-1, MINI_BYTES // 8))
+                flat, n_here = np.frombuffer(mini, dtype=np.uint64), np.frombuffer(sizes, dtype=np.int32).astype(np.int64)
+                words = mini_words(n_here, num, den)
+                begin = np.cumsum(words) - words
+                table = np.zeros((len(words), MINI_BYTES // 8), dtype=np.uint64)
+                for j in range(table.shape[1]):
+                    table[words > j, j] = flat[begin[words > j] + j]
+                minis.append(table)
                 got[4].append(at + np.int32(seen))
-                seen += len(minis[-1])
+                seen += len(table)
         if not got[0]:
             return
         keys = np.concatenate(got[0])
@@ -271,9 +296,13 @@ def _candidates(signed: DataFrame, num: int, den: int, buckets: int) -> DataFram
         fit = (low * den >= high * num) & (ids[a] != ids[b])
         a, b, low, high = a[fit], b[fit], low[fit], high[fit]
         fit = np.ones(len(a), dtype=bool)
-        for at in range(0, len(a), 100_000):
-            x, y = (minis[whose[c[at : at + 100_000]]] for c in (a, b))
-            fit[at : at + 100_000] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= max_difference((low + high)[at : at + 100_000], num, den)
+        words = np.minimum(mini_words(low, num, den), mini_words(high, num, den))
+        for w in np.unique(words[words > 0]).tolist():
+            some = np.flatnonzero(words == w)
+            for at in range(0, len(some), 100_000):
+                here = some[at : at + 100_000]
+                x, y = (folded(minis[whose[c[here]]], w) for c in (a, b))
+                fit[here] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= max_difference((low + high)[here], num, den)
         a, b, low = a[fit], b[fit], low[fit]
         # The pair's own least band tells how many common keys it has at least.
         edges = np.array(band_edges(int(low.max(initial=1))))
