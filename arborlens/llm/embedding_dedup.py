@@ -1,13 +1,13 @@
-"""Near-duplicate embeddings by a robust-pruned flat graph.
+"""Near-duplicate embeddings by exact search in cells of pivots.
 
-Vectors of a label are dealt to the shards of their nearest pivots, several each, so that shards overlap. In a
-shard every vector's nearest ones are pruned robustly: a neighbour goes if one already taken is closer to it by
-a factor. The adjacency lists of a vector from all its shards are united. A search starts at a shard's medoid,
-moves greedily with a beam to the query's surroundings, and then expands: from every vector found within the
-range all neighbours are visited, until no new one is in range. Pairs found are verified in double precision.
+Every distinct vector of a label is a member of the cell of its nearest pivot. A query visits its own cell and
+each other cell that can hold a partner: a member of another cell is at least as near to that cell's pivot as to
+the query's own, so its distance from the query is at least the query's distance from the plane between the two
+pivots, and the cell is passed over only where that exceeds the range. In a cell queries meet members by block
+products in double precision. No partner is lost and each ordered pair is met once, so links are counts of pairs.
 
-Every vector is a query in the shard of its nearest pivot and is indexed in all shards it overlaps. Recall is
-audited against brute force on a sample (``audit_recall``).
+Where vectors of a label don't cluster, a query visits most cells and work grows with the square of the label.
+``audit_recall`` holds a sample against brute force.
 """
 
 from __future__ import annotations
@@ -20,110 +20,14 @@ from pyspark.sql.window import Window
 from arborlens.llm.common import cut
 from arborlens.llm.components import connected_components
 
-#: Vectors of one shard that are wanted; pivots are chosen so that a label has about that many per shard.
-SHARD = 1024
+#: Vectors of one cell that are wanted; pivots are chosen so that a label has about that many per cell.
+SHARD = 4096
 #: At most so many pivots in all: they are the only data broadcast (8192 * dimension * 8 bytes).
 MAX_PIVOTS = 8192
-#: Members of a shard that one task holds as a block; a larger shard is searched block by block.
+#: Members, and queries, of a cell that one task holds; a larger cell is a grid of blocks.
 BLOCK = 8192
-OVERLAP = 3
-#: Neighbours kept by pruning, candidates pruned from, factor of pruning, and width of the beam.
-DEGREE, NEAREST, ALPHA, BEAM = 16, 40, 1.2, 8
-
-
-def robust_prune(near: np.ndarray, sims: np.ndarray, x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
-    """Adjacency (n, degree) filled with -1, from candidates ``near`` (n, k) in falling similarity, for all vectors at once.
-
-    In rounds, each vector takes its nearest candidate left and drops those that are, by ``alpha``, closer to it than to the vector.
-    """
-    n, k = near.shape
-    gap = np.sqrt(np.maximum(0.0, 2 - 2 * sims))
-    alive = near >= 0
-    out = np.full((n, degree), -1, dtype=np.int32)
-    rows = np.arange(n)
-    for d in range(degree):
-        first = np.argmax(alive, axis=1)
-        some = alive[rows, first]
-        if not some.any():
-            break
-        r = rows[some]
-        star = near[r, first[some]]
-        out[r, d] = star
-        alive[r, first[some]] = False
-        for a in range(0, len(r), 2048):
-            q = r[a : a + 2048]
-            cand = near[q]
-            between = np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("nkd,nd->nk", x[cand], x[star[a : a + 2048]])))
-            alive[q] &= alpha * between > gap[q]
-    return out
-
-
-def build_shard(x: np.ndarray) -> np.ndarray:
-    """Pruned adjacency of one shard, with the reverse of every edge added as far as the degree allows twice over."""
-    n = len(x)
-    k = min(NEAREST, n - 1)
-    if k < 1:
-        return np.full((n, 1), -1, dtype=np.int32)
-    near = np.empty((n, k), dtype=np.int32)
-    sims = np.empty((n, k))
-    for a in range(0, n, 512):
-        s = x[a : a + 512] @ x.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
-        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        v = np.take_along_axis(s, top, 1)
-        order = np.argsort(-v, axis=1, kind="stable")
-        near[a : a + 512], sims[a : a + 512] = np.take_along_axis(top, order, 1), np.take_along_axis(v, order, 1)
-    out = robust_prune(near, sims, x)
-    left, slot = np.nonzero(out >= 0)
-    right = out[left, slot]
-    back = np.full((n, DEGREE), -1, dtype=np.int32)
-    order = np.argsort(right, kind="stable")
-    right, left = right[order], left[order]
-    place = np.arange(len(right)) - np.searchsorted(right, right)
-    ok = place < DEGREE
-    back[right[ok], place[ok]] = left[ok]
-    return np.concatenate((out, back), axis=1)
-
-
-def search_range(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, threshold: float, start: int, beam: int = BEAM):
-    """For every query row its matches: greedy beam search from ``start``, then expansion over all in range."""
-    n = len(x)
-    seen = np.zeros(n, dtype=np.int64)
-    for stamp, q in enumerate(queries, 1):
-        v = x[q]
-        seen[start] = stamp
-        pool_i, pool_s = np.array([start]), np.array([float(v @ x[start])])
-        done = np.array([False])
-        hits = []
-        # A query is a vector of the graph, so its own lists lead on where the greedy walk stops short.
-        seen[q] = stamp
-        frontier = [int(q)]
-        while not done.all():
-            at = int(np.argmax(np.where(done, -9.0, pool_s)))
-            done[at] = True
-            if pool_s[at] >= threshold:
-                frontier.append(int(pool_i[at]))
-            new = lists[pool_i[at]]
-            new = new[seen[new] != stamp]
-            if len(new):
-                seen[new] = stamp
-                s = x[new] @ v
-                hits.append(new[s >= threshold])
-                pool_i, pool_s, done = np.concatenate((pool_i, new)), np.concatenate((pool_s, s)), np.concatenate((done, np.zeros(len(new), dtype=bool)))
-                if len(pool_i) > beam:
-                    best = np.argpartition(-pool_s, beam - 1)[:beam]
-                    pool_i, pool_s, done = pool_i[best], pool_s[best], done[best]
-        if pool_s.size and start != q and float(v @ x[start]) >= threshold:
-            hits.append(np.array([start]))
-        found = np.unique(np.concatenate(hits)) if hits else np.empty(0, dtype=np.int64)
-        open_ = np.unique(np.concatenate((found, frontier))).astype(np.int64)
-        while len(open_):
-            new = np.unique(np.concatenate([lists[i] for i in open_])) if len(open_) else open_
-            new = new[seen[new] != stamp].astype(np.int64)
-            seen[new] = stamp
-            open_ = new[(x[new] @ v) >= threshold] if len(new) else new
-            found = np.concatenate((found, open_))
-        yield q, found[found != q]
+#: Rows of one product, and what rounding may take from the bound of a cell.
+ROWS, SLACK = 512, 1e-6
 
 
 def _usable(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -190,105 +94,80 @@ def embedding_components(df: DataFrame, *, id_col: str = "vec_id", vector_col: s
         shards += len(vs)
     shared = spark.sparkContext.broadcast(base)
 
+    chord = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+
     def deal(batches):
         import pyarrow as pa
 
         for batch in batches:
             labels, dims, reps, copies = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("label", "dim", "rep", "copies"))
             vs = batch.column(batch.schema.get_field_index("v"))
-            out = [[], [], [], [], []]
             by: dict = {}
             for i, key in enumerate(zip(labels, dims, strict=True)):
                 by.setdefault(key, []).append(i)
             for key, at in by.items():
                 first, centres = shared.value[key]
-                x = np.array([np.frombuffer(vs[i].as_py()) for i in at])
-                s = x @ centres.T
-                k = min(OVERLAP, len(centres))
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                for row, i in enumerate(at):
-                    for place in range(k):
-                        out[0].append(first + int(top[row, place]))
-                        out[1].append(place == 0)
-                        out[2].append(reps[i])
-                        out[3].append(copies[i])
-                        out[4].append(x[row].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=["shard", "own", "rep", "copies", "v"])
+                for k in range(0, len(at), ROWS):
+                    some = np.array(at[k : k + ROWS])
+                    x = np.array([np.frombuffer(vs[int(i)].as_py()) for i in some])
+                    s = x @ centres.T
+                    own = np.argmax(s, axis=1)
+                    apart = np.sqrt(np.maximum(0.0, 2 - 2 * (centres[own] @ centres.T)))
+                    visits = s[np.arange(len(x)), own][:, None] - s <= chord * apart + SLACK
+                    row, cell = np.nonzero(visits)
+                    for a in range(0, len(row), 1 << 13):  # a query may visit thousands of cells
+                        r, c = row[a : a + (1 << 13)], cell[a : a + (1 << 13)]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(first + c, pa.int64()), pa.array(c == own[r], pa.bool_()), pa.array([reps[i] for i in some[r]], pa.int64()), pa.array([copies[i] for i in some[r]], pa.int64()), pa.array([x[i].tobytes() for i in r], pa.binary())],
+                            names=["shard", "own", "rep", "copies", "v"],
+                        )
 
     dealt = nodes.select("label", "dim", "rep", "copies", "v").mapInArrow(deal, "shard long, own boolean, rep long, copies long, v binary")
-    # A shard larger than a block (one cluster may hold a third of all vectors) is cut into blocks by a hash.
+    # A cell of more members or queries than a block (one cluster may hold a third of all vectors) is cut by hashes
+    # into a grid: every part of its members meets every part of its queries once.
     dealt = cut(dealt)
-    large = {r["shard"]: -(-r["c"] // BLOCK) for r in dealt.groupBy("shard").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).collect()}  # a row per pivot at most
-    blocks = F.lit(1)
-    if large:
-        blocks = F.coalesce(F.element_at(F.create_map(*(F.lit(x).cast("long") for kv in large.items() for x in kv)), F.col("shard")), F.lit(1))
-    dealt = dealt.withColumn("blocks", blocks.cast("long")).withColumn("block", F.pmod(F.xxhash64("rep", "v"), F.col("blocks")))
-
-    def build(key, table):
-        import pyarrow as pa
-
-        x = np.frombuffer(b"".join(table.column("v").to_pylist()), dtype=np.float64).reshape(table.num_rows, -1)
-        rep = np.array(table.column("rep").to_pylist(), dtype=np.int64)
-        order = np.argsort(rep, kind="stable")
-        x, rep = x[order], rep[order]
-        adj = build_shard(x)
-        lists = [rep[np.unique(a[a >= 0])].tobytes() for a in adj]
-        return pa.table({"rep": pa.array(rep, pa.int64()), "near": pa.array(lists, pa.binary())})
-
-    partial = dealt.groupBy("shard", "block").applyInArrow(build, "rep long, near binary")
-    # The union of a vector's lists: at most OVERLAP lists of bounded length per vector.
-    graph = partial.groupBy("rep").agg(F.collect_list("near").alias("lists"))
-    # A query visits all blocks of its shard; members stand in their own block.
-    members = dealt.join(graph, "rep").withColumn("visit", F.when(F.col("own"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block")))
-    visits = members.withColumn("at", F.explode("visit")).select("shard", "at", "rep", "copies", "v", "own", F.concat_ws("", F.transform("lists", lambda b: F.hex(b))).alias("near"), (F.col("at") == F.col("block")).alias("member"))
+    sizes = dealt.groupBy("shard").agg(*(F.ceil(F.greatest(F.sum(n), F.lit(1)) / BLOCK).alias(k) for k, n in (("ms", F.col("own").cast("long")), ("qs", F.lit(1)))))
+    dealt = dealt.join(F.broadcast(sizes), "shard")  # a row per pivot
+    dealt = dealt.withColumn("m", F.pmod(F.xxhash64("rep", "v"), F.col("ms"))).withColumn("q", F.pmod(F.xxhash64("v", "rep"), F.col("qs")))
+    zero = F.lit(0).cast("long")
+    asks = F.transform(F.sequence(zero, F.col("ms") - 1), lambda m: F.struct(m.alias("m"), F.col("q").alias("q")))
+    stands = F.transform(F.sequence(zero, F.col("qs") - 1), lambda q: F.struct(F.col("m").alias("m"), q.alias("q")))
+    visits = dealt.withColumn("at", F.explode(F.when(F.col("own"), F.array_union(asks, stands)).otherwise(asks)))
+    visits = visits.select("shard", F.col("at.m").alias("am"), F.col("at.q").alias("aq"), "rep", "copies", "v", (F.col("own") & (F.col("at.m") == F.col("m"))).alias("member"), (F.col("at.q") == F.col("q")).alias("query"))
 
     def search(key, table):
         import pyarrow as pa
 
         x = np.frombuffer(b"".join(table.column("v").to_pylist()), dtype=np.float64).reshape(table.num_rows, -1)
         rep = np.array(table.column("rep").to_pylist(), dtype=np.int64)
-        order = np.argsort(rep, kind="stable")
-        x, rep = np.ascontiguousarray(x[order]), rep[order]
-        member = np.array(table.column("member").to_pylist(), dtype=bool)[order]
-        own = np.array(table.column("own").to_pylist(), dtype=bool)[order]
-        copies = np.array(table.column("copies").to_pylist(), dtype=np.int64)[order]
-        raw = table.column("near").to_pylist()
-        lists = []
-        for i in order:
-            ids = np.frombuffer(bytes.fromhex(raw[i]), dtype=np.int64)
-            at = np.searchsorted(rep, ids)
-            at[at == len(rep)] = 0
-            at = at[(rep[at] == ids)] if len(ids) else at
-            lists.append(np.unique(at[member[at]]) if len(at) else at)
-        inside = np.flatnonzero(member)
-        if not len(inside):
-            return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
-        medoid = int(inside[np.argmax(x[inside] @ x[inside].mean(axis=0))])
+        copies = np.array(table.column("copies").to_pylist(), dtype=np.int64)
+        inside = np.flatnonzero(np.array(table.column("member").to_pylist(), dtype=bool))
+        queries = np.flatnonzero(np.array(table.column("query").to_pylist(), dtype=bool))
+        y, y_rep, y_copies = x[inside], rep[inside], copies[inside]
         ids, links, other = [], [], []
-        root = np.arange(len(x))
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for q, found in search_range(x, lists, np.flatnonzero(own), threshold, medoid):
-            if not len(found):
-                continue
-            ids.append(int(rep[q]))
-            links.append(int(copies[found].sum()))
-            other.append(None)
-            for f in found:  # a spanning forest of the block's links, not all of them
-                a, b = find(q), find(f)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    ids.append(int(rep[q]))
-                    links.append(0)
-                    other.append(int(rep[f]))
+        group = np.arange(len(x))  # a name per component of the links seen so far
+        for k in range(0, len(queries) if len(inside) else 0, ROWS):
+            some = queries[k : k + ROWS]
+            near = (x[some] @ y.T >= threshold) & (rep[some][:, None] != y_rep[None, :])
+            total = near @ y_copies
+            for row in np.flatnonzero(near.any(axis=1)):
+                q = some[row]
+                ids.append(int(rep[q]))
+                links.append(int(total[row]))
+                other.append(None)
+                found = inside[near[row]]
+                names = group[found]
+                new = names != group[q]
+                if new.any():  # a spanning forest of the task's links, not all of them
+                    heads, at = np.unique(names[new], return_index=True)
+                    for f in found[new][at]:
+                        ids.append(int(rep[q]))
+                        links.append(0)
+                        other.append(int(rep[f]))
+                    group[np.isin(group, heads)] = group[q]
         return pa.table({"rep": pa.array(ids, pa.int64()), "links": pa.array(links, pa.int64()), "other": pa.array(other, pa.int64())})
 
-    found = cut(visits.groupBy("shard", "at").applyInArrow(search, "rep long, links long, other long"))
+    found = cut(visits.groupBy("shard", "am", "aq").applyInArrow(search, "rep long, links long, other long"))
     copies = rows.join(nodes.select("label", "dim", "v", "rep", "copies"), ["label", "dim", "v"]).select("id", "rep", "copies")
     copies = cut(copies)
     edges = found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")).unionByName(copies.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))

@@ -235,3 +235,20 @@ def test_embeddings(spark):
     count = {i: sum(i in e for e in links) for i in want}
     assert got == {i: (count[i], want[i], want[i] == i) for i in want}
     assert embedding_dedup.embedding_components(df.limit(0)).count() == 0
+
+
+def test_embeddings_dense(spark, monkeypatch):
+    """One dense group over many cells and blocks, among vectors without any cluster: every partner counts."""
+    import numpy as np
+
+    monkeypatch.setattr(embedding_dedup, "SHARD", 32)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 100)
+    rnd = np.random.default_rng(6)
+    centre = rnd.normal(size=16)
+    x = np.concatenate((centre + 0.2 * rnd.normal(size=(600, 16)), rnd.normal(size=(200, 16))))
+    df = spark.createDataFrame([(i, [float(a) for a in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_components(df).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    want = roots([(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True) if a < b], range(len(x)))
+    assert near.sum() > 10_000 and got == {i: (int(near[i].sum()) - 1, want[i]) for i in range(len(x))}
