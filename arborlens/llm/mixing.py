@@ -63,11 +63,32 @@ def rake(cells: DataFrame, targets: dict[str, float | dict]) -> DataFrame:
     return one.drop(*(f"_goal_{d}" for d in targets))
 
 
+def fill(rates: DataFrame, budget: float) -> DataFrame:
+    """Scale ``rate`` of ``rates(tokens, rate)`` by one factor, with 1 as the bound, so that ``budget`` of all tokens is drawn.
+
+    In falling order of rates: a cell is full if the factor that the cells before it leave lifts it to 1 or more;
+    the first that isn't has the factor of all that follow. Cells without tokens get the budget.
+    """
+    falling = Window.partitionBy(F.lit(1)).orderBy(F.desc("rate"), F.desc("tokens"))
+    everything = Window.partitionBy(F.lit(1))
+    tokens = F.col("tokens").cast("double")
+    before = F.coalesce(F.sum(tokens).over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    after = F.sum(tokens * F.col("rate")).over(falling.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    left = F.greatest(F.sum(tokens).over(everything) * budget - before, F.lit(0.0))
+    held = rates.withColumn("_factor", F.when(after > 0, left / after))
+    open_ = F.when((F.col("tokens") > 0) & (F.col("_factor") * F.col("rate") < 1), F.col("_factor"))
+    # Factors fall from cell to cell once one isn't full, so the first is the largest.
+    held = held.withColumn("_factor", F.max(open_).over(everything))
+    rate = F.when(F.col("tokens") == 0, F.lit(float(budget))).when(F.col("rate") > 0, F.least(F.coalesce(F.col("_factor") * F.col("rate"), F.lit(1.0)), F.lit(1.0))).otherwise(0.0)
+    return held.withColumn("rate", rate).drop("_factor")
+
+
 def sample_mix(df: DataFrame, targets: dict[str, float | dict], *, id_col: str = "doc_id", text_col: str = "text", budget: float = 1.0, max_copies: int = 4, whole: bool = False, seed: str = "mix") -> DataFrame:
     """``df`` with n_tokens, rate and copies; the dimensions in ``targets`` are columns of ``df``.
 
-    ``budget`` is the wanted share of all tokens; a rate is cut at ``max_copies``. With ``whole`` the rates are
-    scaled instead so that the largest is 1, and copies is 0 or 1. Null dimension values are a value of their
+    ``budget`` is the wanted share of all tokens; a rate is cut at ``max_copies``. With ``whole`` copies is 0 or 1:
+    cells that ask for more stop at a rate of 1, and what they leave of the budget goes to the others in proportion
+    to their raked rates, so the sample keeps the budget as far as cells with a target hold it. Null dimension values are a value of their
     own. Null and empty texts have no tokens; a cell without tokens has the rate of the budget. Rows that share
     an id are drawn together; a null id is drawn as an empty one. An empty table gives an empty result.
     Columns of ``df`` named n_tokens, rate or copies are replaced.
@@ -79,7 +100,7 @@ def sample_mix(df: DataFrame, targets: dict[str, float | dict], *, id_col: str =
     rate = F.when(F.col("tokens") > 0, F.col("w") * total / F.col("tokens")).otherwise(1.0)
     rates = rake(cells, targets).withColumn("rate", rate)
     if whole:
-        rates = rates.withColumn("rate", F.col("rate") / F.max("rate").over(Window.partitionBy(F.lit(1))))
+        rates = fill(rates, budget)
     else:
         rates = rates.withColumn("rate", F.least(F.col("rate") * budget, F.lit(float(max_copies))))
     rates = cut(rates.select(*(F.col(d).alias(f"_cell_{d}") for d in dims), "rate"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from arborlens.llm import exact_dedup, mixing, packing, sketch_join, toxicity
 from arborlens.llm.common import cut, read_table
-from arborlens.llm.queries import MIX_TARGETS, tokenizer_path, topic
+from arborlens.llm.queries import MIX_BUDGET, MIX_TARGETS, tokenizer_path, topic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample documents so that sources and languages come closer to even shares of tokens; no document is repeated."""
-    mixed = mixing.sample_mix(docs.withColumn("_topic", topic(F.col("text"))), {("_topic" if d == "topic" else d): t for d, t in MIX_TARGETS.items()}, whole=True)
+    """Sample MIX_BUDGET of the tokens so that sources and languages come closer to even shares; no document is repeated."""
+    mixed = mixing.sample_mix(docs.withColumn("_topic", topic(F.col("text"))), {("_topic" if d == "topic" else d): t for d, t in MIX_TARGETS.items()}, budget=MIX_BUDGET, whole=True)
     return mixed.where("copies > 0").select(docs.columns)
 
 

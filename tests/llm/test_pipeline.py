@@ -25,3 +25,14 @@ def test_stages(spark, tmp_path):
     assert mixed.columns == docs.columns and 20 <= mixed.count() <= 60
     packed = stage["packing"](spark, mixed, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in mixed.collect()}
+
+
+def test_mixing_keeps_its_budget(spark, tmp_path):
+    """One tiny source must not thin all others."""
+    rnd = random.Random(10)
+    rows = [(i, "word " * rnd.randint(10, 300), ("en", "de")[i % 5 == 0], f"s{i % 3}", 1) for i in range(3000)]
+    docs = spark.createDataFrame([*rows, (5000, "word " * 5, "en", "tiny", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, str(tmp_path)).collect()
+    assert len({r.doc_id for r in kept}) == len(kept)
+    assert 0.77 < sum(len(r.text) for r in kept) / sum(len(r[1]) for r in rows) < 0.83
+    assert 5000 in {r.doc_id for r in kept}
