@@ -1,8 +1,11 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text. A text is cut into windows
-of whole words; each window is compressed with either dictionary, and a window that comes out shorter with
-the toxic one counts towards toxicity. A small logistic model, fitted on documents that the dictionaries
+Two pairs of zstandard dictionaries are made, each with one for ordinary and one for toxic text. Those of the
+first pair are trained by zstandard on the windows of each class. In the second, the ordinary words have a list
+of stems that mark toxic texts before them; it is sharper where single words tell, and blind to phrases of
+ordinary words and to what under 1 % of toxic texts hold, which the first pair sees. A text is cut into windows
+of whole words; each window is compressed with every dictionary, and a window that comes out shorter with
+the toxic one of a pair counts towards toxicity. A small logistic model, fitted on documents that the dictionaries
 of its fold have not seen, turns a text's window gains into a score between 0 and 1.
 
 Inputs of a score: the text alone. Null and empty texts have no window and get the score of zero gains.
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS_PER_CLASS = 1000
 SAMPLE_MAX_CHARS = 6_000
 DICTIONARY_BYTES = 16384
+#: Size of a dictionary trained on windows, and the segment and run lengths that training looks at.
+TRAINED_BYTES, TRAINED_K, TRAINED_D = 112640, 48, 8
 #: Short enough that zstandard leaves what it can't match as plain bytes, so a match shows in the length.
 WINDOW_BYTES = 48
 GRAM_SIZES = (4, 5, 6, 7, 8, 10, 12)
@@ -55,18 +60,19 @@ class Model:
     ordinary: bytes
     toxic: bytes
     weights: tuple[float, ...]
+    trained: tuple[bytes, bytes] = (b"", b"")
     constant: float | None = None
 
 
 class Scorer:
-    """Holds the two compressors of a model; one per Python worker."""
+    """Holds the compressors of a model; one per Python worker."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.pair = [_compressor(d) for d in (model.ordinary, model.toxic)] if model.constant is None else None
+        self.pairs = _pairs((model.ordinary, model.toxic), model.trained) if model.constant is None else None
 
     def features(self, text: str | None) -> list[float]:
-        return _features(self.pair, text)
+        return _features(self.pairs, text)
 
     def score(self, text: str | None) -> float:
         if self.model.constant is not None:
@@ -81,19 +87,26 @@ def _compressor(content: bytes):
     return zstd.ZstdCompressor(dict_data=book, compression_params=_PARAMS).compress
 
 
-def _features(pair, text) -> list[float]:
-    ordinary, toxic = pair
-    counts, total, best, n = [0] * len(LEVELS), 0, 0, 0
-    for w in windows(text):
-        n += 1
-        gain = len(ordinary(w)) - len(toxic(w))
-        total += gain
-        if gain > 0:
-            best = max(best, gain)
-            for k, level in enumerate(LEVELS):
-                counts[k] += gain >= level
-    n = max(n, 1)
-    return [1.0, *(math.log1p(c) for c in counts), *(min(1.0, 10 * c / n) for c in counts), total / n, min(best, 12) / 4]
+def _pairs(*books: tuple[bytes, bytes]) -> list:
+    return [[_compressor(d or b" " * 8) for d in pair] for pair in books]
+
+
+def _features(pairs, text) -> list[float]:
+    cut_up = list(windows(text))
+    out = [1.0]
+    for k, (ordinary, toxic) in enumerate(pairs):
+        # The trained dictionaries hold texts they were fitted on; such a text's large gains must not run off the fitted range.
+        low, high = ((-math.inf, math.inf), (0.0, 4.0))[k]
+        counts, total, best, n = [0] * len(LEVELS), 0, 0, max(len(cut_up), 1)
+        for w in cut_up:
+            gain = len(ordinary(w)) - len(toxic(w))
+            total += gain
+            if gain > 0:
+                best = max(best, gain)
+                for j, level in enumerate(LEVELS):
+                    counts[j] += gain >= level
+        out += [*(math.log1p(c) for c in counts), *(min(1.0, 10 * c / n) for c in counts), max(low, min(high, total / n)), min(best, 12) / 4]
+    return out
 
 
 def _grams(words: set[str]) -> set[str]:
@@ -156,6 +169,21 @@ def train_dictionaries(texts: list[str], toxic: list[int], size: int = DICTIONAR
     return ordinary, _fill(chosen, size // 2) + ordinary
 
 
+def train_on_windows(texts: list[str], toxic: list[int], size: int = TRAINED_BYTES) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) dictionaries of the windows of each class; a class that fits is its own dictionary."""
+    out = []
+    for y in (0, 1):
+        own = [w for t, x in zip(texts, toxic, strict=True) if x == y for w in windows(t)]
+        book = b" ".join(own)
+        if len(book) > size:
+            try:
+                book = zstd.train_dictionary(size, own, k=TRAINED_K, d=TRAINED_D).as_bytes()
+            except zstd.ZstdError:  # too few windows to train on
+                book = book[-size:]
+        out.append(book)
+    return out[0], out[1]
+
+
 def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.3) -> np.ndarray:
     """Ridge logistic regression by Newton steps; rows of the rarer class don't weigh more."""
     w = np.zeros(x.shape[1])
@@ -184,17 +212,18 @@ def fit(texts: list[str], toxic: list[int], share: float | None = None) -> Model
         inside = [i for i in range(len(texts)) if fold[i] != f]
         if len({toxic[i] for i in inside}) < 2:
             inside = list(range(len(texts)))
-        pair = [_compressor(d or b" " * 8) for d in train_dictionaries([texts[i] for i in inside], [toxic[i] for i in inside])]
+        given = [texts[i] for i in inside], [toxic[i] for i in inside]
+        pairs = _pairs(train_dictionaries(*given), train_on_windows(*given))
         for i in range(len(texts)):
             if fold[i] == f:
-                rows.append(_features(pair, texts[i]))
+                rows.append(_features(pairs, texts[i]))
                 ys.append(toxic[i])
     w = _fit(np.array(rows), np.array(ys, dtype=float))
     if share and 0 < share < 1:
         here = sum(toxic) / len(toxic)
         w[0] += math.log(share / (1 - share)) - math.log(here / (1 - here))
     ordinary, tox = train_dictionaries(texts, toxic)
-    return Model(ordinary or b" " * 8, tox or b" " * 8, tuple(map(float, w)))
+    return Model(ordinary or b" " * 8, tox or b" " * 8, tuple(map(float, w)), train_on_windows(texts, toxic))
 
 
 def learn(documents: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", held_out_fold: int | None = 0, folds: int = 5) -> Model:

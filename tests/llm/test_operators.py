@@ -217,6 +217,25 @@ def test_toxicity(spark):
     assert toxicity.fit([], []).constant == 0.0
 
 
+def test_toxicity_phrases():
+    """Ordinary words that are toxic in one order only: no stem tells, a dictionary of windows does."""
+    rnd = random.Random(8)
+    words = [f"{a}{b}{c}" for a in ("ren", "tal", "mo", "vis", "ker") for b in ("da", "lo", "ti", "se", "no") for c in ("x", "ng", "l", "r")]
+    phrases = [" ".join(rnd.sample(words, 6)) for _ in range(3)]
+    texts, toxic = [], []
+    for i in range(600):
+        w = rnd.choices(words, k=rnd.randint(40, 80))
+        if i % 4 == 0:
+            for _ in range(3):
+                w.insert(rnd.randrange(len(w)), rnd.choice(phrases))
+        texts.append(" ".join(w))
+        toxic.append(int(i % 4 == 0))
+    scorer = toxicity.Scorer(toxicity.fit(texts[:400], toxic[:400]))
+    said = [scorer.score(t) >= 0.5 for t in texts[400:]]
+    assert sum(a == b for a, b in zip(said, toxic[400:], strict=True)) >= 0.9 * 200
+    assert sum(a and b for a, b in zip(said, toxic[400:], strict=True)) >= 0.8 * 50
+
+
 def test_embeddings(spark):
     import numpy as np
 
