@@ -7,7 +7,9 @@ main text. On the path from it to the body the least density is the threshold: a
 joins the main text if it reaches that threshold, which brings in headings and leaves out short notices.
 
 Elements that never are main text (scripts, styles, menus, headers and footers of the page, sidebars, forms)
-and those whose class or id says so (adverts, notices, comments, ...) go before densities are computed.
+go before densities are computed, and so do those with a whole word of class or id that says so (adverts,
+notices, comments, ...), unless they are an article or main element or hold more than half of the page's text
+while no article or main element beside them has any: of those the density decides.
 """
 
 from __future__ import annotations
@@ -29,18 +31,18 @@ ENDS_P = BLOCK - frozenset(["body", "html", "td", "th", "tr", "tbody", "thead",
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th"), "option": ("option",)}
 BORDERS = frozenset("ul ol dl table article section div main body html select".split())
 #: Words of class and id that mark what is not main text.
-NOISE = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|footer|site-header|masthead|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|comment-\w+|replies|disqus|respond|login|signup|search|pagination|pager|toolbar|copyright|legal|disclaimer)(?:$|[-_\s\d])", re.I)
+NOISE = re.compile(r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|footer|site-header|masthead|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|comment-\w+|replies|disqus|respond|login|signup|search|pagination|pager|toolbar|copyright|legal|disclaimer)[-_]?\d*", re.I)
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?|\"[^\"]*\"|'[^']*'")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("chars", "density", "dropped", "items", "link_chars", "link_tags", "sum", "tag", "tags", "up")
+    __slots__ = ("chars", "density", "dropped", "items", "link_chars", "link_tags", "noisy", "sum", "tag", "tags", "up")
 
-    def __init__(self, tag, up, dropped=False):
-        self.tag, self.up, self.dropped, self.items = tag, up, dropped, []
+    def __init__(self, tag, up, dropped=False, noisy=False):
+        self.tag, self.up, self.dropped, self.noisy, self.items = tag, up, dropped, noisy, []
 
 
 def parse(page: str) -> Node:
@@ -74,10 +76,10 @@ def parse(page: str) -> Node:
         if tag in ("html", "body"):
             continue
         here, skip = _implied(here, tag, skip)
-        drop = bool(skip) or tag in DROPPED or bool(inner) and _noise(inner)
+        drop = bool(skip) or tag in DROPPED or bool(inner) and _unseen(inner)
         if tag == "header" and not skip and _inside(here, "article"):
-            drop = bool(inner) and _noise(inner)  # an article's own header holds its heading
-        node = Node(tag, here, drop)
+            drop = bool(inner) and _unseen(inner)  # an article's own header holds its heading
+        node = Node(tag, here, drop, noisy=not drop and bool(inner) and tag not in ("article", "main") and _noise(inner))
         if not drop:
             here.items.append(node)
         elif tag in BLOCK and not skip:
@@ -96,19 +98,55 @@ def _inside(node, tag):
     return False
 
 
-def _noise(inner: str) -> bool:
+def _attributes(inner: str):
     for name, value in _ATTR.findall(inner):
-        name = name.lower()
-        value = value.strip("\"'")
+        yield name.lower(), html.unescape(value.strip("\"'"))
+
+
+def _unseen(inner: str) -> bool:
+    """Whether attributes hide an element or give it a role beside the main text."""
+    for name, value in _attributes(inner):
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu"):
             return True
-        if name in ("class", "id") and NOISE.search(value):
-            return True
     return False
 
 
+def _noise(inner: str) -> bool:
+    return any(NOISE.fullmatch(word) for name, value in _attributes(inner) if name in ("class", "id") for word in value.split())
+
+
+def _prune(root: Node) -> None:
+    """Take out the elements that class or id marks, but for those with more than half of the page's text.
+
+    Beside an article or main element with text, such an element goes whatever it holds.
+    """
+    order, stack, chars, framed, inside = [], [root], {}, {}, {id(root): False}
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        for x in n.items:
+            if isinstance(x, Node):
+                inside[id(x)] = inside[id(n)] or n.tag in ("article", "main")
+                stack.append(x)
+    if not any(n.noisy for n in order):
+        return
+    for n in reversed(order):
+        chars[id(n)] = sum(chars[id(x)] if isinstance(x, Node) else len(_SPACE.sub(" ", x).strip()) for x in n.items)
+        framed[id(n)] = chars[id(n)] if n.tag in ("article", "main") else sum(framed[id(x)] for x in n.items if isinstance(x, Node))
+    half = chars[id(root)] / 2
+    for n in order:
+        if any(isinstance(x, Node) and x.noisy for x in n.items):
+            kept = []
+            for x in n.items:
+                if not (isinstance(x, Node) and x.noisy) or chars[id(x)] > half and (inside[id(x)] or framed[id(x)] == framed[id(root)]):
+                    kept.append(x)
+                elif x.tag in BLOCK:
+                    kept.append(Node("hr", n))  # what stands on either side is not one block
+            n.items = kept
+
+
 def _pop(node, skip):
     return node.up, skip - node.dropped
 
@@ -228,6 +266,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _prune(root)
     _measure(root)
     left_out, mute = _selected(root)
     blocks, now = [], []

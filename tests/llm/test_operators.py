@@ -118,6 +118,15 @@ def test_html():
     assert html_density.extract("<p>" + "<div>" * 5000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("opening", ['div class="content with-sidebar"', 'article class="post no-comments"', 'article class="comments"', 'div class="post category-legal"', 'div id="social-history"', 'div title="The hidden cost"', "div data-x='a class=ads role=menu'", 'div class="widget"'])
+def test_html_keeps_the_main_text(opening):
+    """Neither parts of class words nor what stands in other attributes nor a class on most of the text drops it."""
+    text = "The main text of this page is long enough to hold most of what it says, and a little more."
+    page = f'<body><div class="ad"><p>Buy this now.</p></div><{opening}><p>{text}</p></{opening.split()[0]}><div class=ads><p>Or that.</p></div></body>'
+    assert html_density.extract(page) == text
+    assert html_density.extract(f'<div class="ad">{text}</div><article><p>Short.</p></article>') == "Short."
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (2, "u", "<article><p>a</p></article>", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.url, r.text, r.n_chars) for r in html_density.extract_pages(df).collect()) == [(1, None, "", 0), (2, "u", "a", 1)]
