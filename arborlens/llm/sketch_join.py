@@ -3,44 +3,60 @@
 A document's set of shingles is XOR-hashed into a bit sketch: every shingle toggles one bit. Each bit of
 Hamming distance between two sketches needs at least one shingle that only one set has, so the distance
 never exceeds the symmetric difference. Two sets of joint size S with Jaccard index >= t differ in at most
-k = floor(S * (1 - t) / (1 + t)) shingles. Documents are put in bands of similar size; in a band the sketch
-is cut into k + 1 + e parts of 64 bits, so at least 1 + e parts of a linked pair are equal (pigeonhole), and
-equal parts are joined. A part of at most one shingle says little (many documents share a passage) and is a key
-only for documents that have many of them; what is left suffices for c = 1 + e / 4 common keys of every linked
-pair, so fewer are no candidate. A small sketch travels with the keys, so most pairs of documents that only share a
-passage go where their keys meet. Candidates whose whole sketches differ in too many bits go next; the others are
-verified on the sets themselves.
-
-Equal sets are linked without the join. Of a key that many documents share, each is compared with the
-key's smallest one first. A document with few frequent keys in a band shares c rare ones with each partner that
-it meets there, which finds the link. Only where both of a pair have more, the documents of smaller components
-are compared with all others of the key; so no link between components is lost, a large group costs a star, not
-all its pairs, and a passage that many documents share costs nothing where it is a small part of them.
+k(S) = floor(S * (1 - t) / (1 + t)) shingles. Documents are put in bands of similar size. In a band every sketch
+is cut into P parts of 64 bits, P above the band's largest k, so a linked pair agrees in at least P - k(S) of
+them (pigeonhole), and equal parts are joined: they are the keys. A document also sends keys for the bands of
+larger partners; a pair is met in the band of its larger one. Parts of at most one shingle say little and are left out where
+enough others remain. Pairs with fewer common keys than a linked pair must have are no candidates; the others
+are compared by their whole sketches, and what remains is verified on the sets.
+
+Equal sets are linked by a star, without the join. A key of more than ``small_group`` documents is frequent: its documents
+are compared with its first one, and its rows are noted. A document whose frequent keys in a band are few enough meets
+each of its partners there by rare keys as well. Where both of a pair have more, the documents of a frequent key that
+are in different components by then are compared by their whole sketches, in blocks of bounded size; so no link
+between components is lost, and a group of near copies costs a star and not its pairs.
+
+Shingles are compared by 64-bit hashes: two different shingles of a pair of documents of n shingles each agree by
+chance with odds of n * n / 2 ** 64 (2e-11 for 20,000), and equal sets are told by 128 bits.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from arborlens.llm.common import cut, forget
 from arborlens.llm.components import connected_components
 
-#: Documents with a common key up to which all pairs are tried at once.
-SMALL_GROUP = 8
-#: Documents of one flush with a common key from which only the first goes to the shuffle.
-LOCAL_GROUP = 64
-FLUSH_BYTES = 8 << 20
-#: Bytes of the small sketch that rows of frequent keys carry, keys carry no more; whole sketches have one to two bits per shingle.
-MINI_BYTES, LEAST_BYTES, MOST_BYTES = 32, 32, 1 << 16
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How much is done at once; results don't depend on it."""
+
+    #: Documents with a common key up to which all pairs are tried at once.
+    small_group: int = 8
+    #: Documents of one flush with a common key from which only the first goes to the shuffle.
+    local_group: int = 64
+    #: Bytes of text and number of documents that are hashed at once; a longer text is taken alone.
+    flush_bytes: int = 8 << 20
+    flush_docs: int = 16384
+    #: Keys of a task that are grouped at once.
+    slice_keys: int = 1 << 19
+    #: Rows of one frequent key on either side of a block.
+    block: int = 2048
+
+
+#: 64-bit words that a product of sketches holds.
+PRODUCT_WORDS = 1 << 21
+#: Whole sketches have two to four bits per shingle within these limits.
+LEAST_BYTES, MOST_BYTES = 8, 1 << 13
 #: Ids of documents to verify up to which they are broadcast (8 MB); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-BAND = 1.25
-#: Share of parts beyond k + 1.
-SPARE = 0.25
-#: Low bits of a key that hold its band; 1.25 ** 128 shingles are out of reach.
-BAND_BITS = 7
+#: Ratio of a band's sizes, and parts beyond its k + 1: a share of k, and a least number where k is small.
+BAND, SPARE, LEAST_SPARE = 1.5, 0.15, 2
 
 
 def max_difference(total, num: int, den: int):
@@ -48,33 +64,27 @@ def max_difference(total, num: int, den: int):
     return total * (den - num) // (den + num)
 
 
-def band_edges(limit: int) -> list[int]:
+def bands(num: int, den: int, limit: int):
+    """(first sizes of the bands up to ``limit`` and beyond, parts per band) as arrays."""
+    import numpy as np
+
     edges = [1]
-    while edges[-1] <= limit:
+    while edges[-1] <= limit * den // num + 1:
         edges.append(max(edges[-1] + 1, int(edges[-1] * BAND)))
-    return edges
-
-
-def spare_and_need(k: int) -> tuple[int, int]:
-    """(parts beyond k + 1, common keys of every linked pair)."""
-    spare = int(SPARE * k) if k > 2 else 0
-    return spare, 1 + spare // 4
+    k = [max_difference(2 * (e - 1), num, den) for e in edges[1:]]
+    return np.array(edges), np.array([x + 1 + (max(LEAST_SPARE, int(SPARE * x)) if x else 0) for x in k])
 
 
-def parity_sketch(mixed, n_bytes: int) -> bytes:
-    """XOR of one bit per shingle. Bits are numbered by the low bits of the hash, so halves XOR to the smaller sketch."""
+def sketch_bytes(n):
+    """Bytes of the whole sketch of a set of ``n`` shingles (array): a power of two."""
     import numpy as np
 
-    bit = (mixed & np.uint64(8 * n_bytes - 1)).astype(np.int64)
-    return np.packbits((np.bincount(bit, minlength=8 * n_bytes) & 1).astype(np.uint8)).tobytes()
-
-
-def sketch_bytes(n: int) -> int:
-    return min(MOST_BYTES, max(LEAST_BYTES, 1 << max(0, (n - 1).bit_length() - 3)))
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / 4.0)).astype(np.int64).clip(0), LEAST_BYTES, MOST_BYTES)
 
 
 def folded(words, n: int):
-    """Sketches of 64-bit words in the last axis, folded to ``n`` words; words that one lacks are zero."""
+    """Sketches of 64-bit words in the last axis, folded to ``n`` words. Bits are numbered by the low bits of the
+    hash, so halves XOR to the smaller sketch."""
     import numpy as np
 
     return np.bitwise_xor.reduce(words.reshape(*words.shape[:-1], -1, n), axis=-2)
@@ -82,304 +92,392 @@ def folded(words, n: int):
 
 def sketch_distance(x: bytes, y: bytes) -> int:
     """Hamming distance of two sketches, the larger one folded to the size of the smaller."""
-    a, b = (x, y) if len(x) <= len(y) else (y, x)
-    left, right = int.from_bytes(a, "big"), int.from_bytes(b, "big")
-    size = 8 * len(b)
-    while size > 8 * len(a):
-        size //= 2
-        right = (right >> size) ^ (right & ((1 << size) - 1))
-    return (left ^ right).bit_count()
-
-
-def mini_words(n, num: int, den: int):
-    """64-bit words of the sketch that goes with a document's keys: four bits or more for each shingle by which it may
-    differ from a partner of its size, at most ``MINI_BYTES``, and none where these are too few to tell (two sets
-    that have little in common differ in half of the bits)."""
     import numpy as np
 
-    most, k = MINI_BYTES // 8, max_difference(2 * n, num, den)
-    return np.select([k < 16 * w for w in (1, 2)] + [k < 32 * most], [1, 2, most], 0)
+    a, b = (np.frombuffer(s, dtype=np.uint64) for s in (x, y))
+    n = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, n) ^ folded(b, n)).sum())
 
 
-def part_keys(shingles, num: int, den: int):
-    """Join keys (uint64) of a sorted set of shingle hashes, for its own band and the bands of larger partners.
+class Sets:
+    """The shingle sets of some documents: sorted distinct hashes, document after document."""
 
-    Also returns its own band and, for it and each next one, how many of the keys may be frequent while the others
-    still hold the common keys that every linked pair has.
-    """
-    import bisect
+    def __init__(self, data, ends, width: int):
+        import numpy as np
+
+        from arborlens.llm.common import batch_shingles
+
+        self.hashes, self.doc = batch_shingles(data, ends, width)
+        self.n = np.bincount(self.doc, minlength=len(ends) - 1)
+        self.at = np.concatenate(([0], np.cumsum(self.n)))
+        self.mixed = None
+
+    def digests(self):
+        """Two 64-bit sums of mixed hashes per document."""
+        import numpy as np
+
+        from arborlens.llm.common import mix64
+
+        self.mixed = mix64(self.hashes)
+        out = np.zeros((2, len(self.n)), dtype=np.int64)
+        full = np.flatnonzero(self.n)
+        if len(full):
+            for k, h in enumerate((self.mixed, mix64(self.hashes ^ np.uint64(0xA24BAED4963EE407)))):
+                out[k, full] = np.add.reduceat(h, self.at[full]).view(np.int64)
+        return out
+
+    def sketches(self) -> list[bytes]:
+        """XOR of one bit per shingle."""
+        import numpy as np
+
+        size = sketch_bytes(self.n)
+        begin = np.concatenate(([0], np.cumsum(size)))
+        bit = 8 * begin[self.doc] + (self.mixed & (8 * size[self.doc] - 1).astype(np.uint64)).astype(np.int64)
+        flat = np.packbits((np.bincount(bit, minlength=8 * begin[-1]) & 1).astype(np.uint8)).tobytes()
+        return [flat[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+    def keys(self, docs, band, parts, smax, num: int, den: int):
+        """Join keys of ``docs`` for a band each: (key, index into docs), and per document (weak parts, whether they are
+        sent too, frequent keys that it may have there while its rare ones still find every partner)."""
+        import numpy as np
 
+        from arborlens.llm.common import mix64
+
+        place = np.full(len(self.n), -1)
+        place[docs] = np.arange(len(docs))
+        own = place[self.doc]
+        chosen = own >= 0
+        h, own = self.hashes[chosen], own[chosen]
+        part = ((h >> np.uint64(32)) * parts[own].astype(np.uint64)) >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (own[1:] != own[:-1]))))
+        words = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), h & np.uint64(63)), starts)
+        full = np.diff(np.append(starts, len(h))) > 1
+        part, own = part[starts], own[starts]
+        weak = parts - np.bincount(own[full], minlength=len(docs))
+        least = parts - max_difference(smax, num, den)  # common parts of every linked pair
+        sent = least - weak < np.maximum(1, (least + 1) // 2)
+        keep = full | sent[own]
+        part, own, words = part[keep], own[keep], words[keep]
+        if sent.any():  # parts without any shingle
+            lone = np.flatnonzero(sent)
+            row = np.repeat(lone, parts[lone])
+            each = np.arange(len(row)) - np.repeat(np.cumsum(parts[lone]) - parts[lone], parts[lone])
+            have = np.zeros(len(row), dtype=bool)
+            first = np.zeros(len(docs), dtype=np.int64)
+            first[lone] = np.cumsum(parts[lone]) - parts[lone]
+            there = sent[own]
+            have[first[own[there]] + part[there].astype(np.int64)] = True
+            own = np.concatenate((own, row[~have]))
+            part = np.concatenate((part, each[~have].astype(np.uint64)))
+            words = np.concatenate((words, np.zeros((~have).sum(), dtype=np.uint64)))
+        slack = np.where(sent, np.where(weak > 0, 0, least // 2), (least - weak) // 2)
+        return mix64(words ^ mix64(part + (band[own].astype(np.uint64) << np.uint64(40)) + np.uint64(1))), own, weak, sent, slack
+
+
+def _chunks(batch, limits: Limits):
+    """(first row, end, bytes, their offsets) of runs of rows whose texts have about ``flush_bytes``."""
     import numpy as np
 
-    from arborlens.llm.common import mix64
-
-    n = len(shingles)
-    edges = band_edges(n * den // num + 1)
-    own = band = bisect.bisect_right(edges, n) - 1
-    out, slack = [], []
-    low = np.uint64((1 << BAND_BITS) - 1)
-    bits = np.left_shift(np.uint64(1), shingles & np.uint64(63))
-    high = shingles >> np.uint64(32)
-    while edges[band] <= n * den // num:
-        k = max_difference(2 * (edges[band + 1] - 1), num, den)
-        spare, need = spare_and_need(k)
-        parts = k + 1 + spare
-        part = (high * np.uint64(parts)) >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        words = np.bitwise_xor.reduceat(bits, starts)
-        have = part[starts]
-        full = np.diff(np.append(starts, n)) > 1
-        weak = parts - int(full.sum())
-        if weak > spare + 1 - need:  # the weak parts may be all that a partner shares
-            weak = 0
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), have, assume_unique=True)
-            have, words = np.concatenate((have, empty)), np.concatenate((words, np.zeros(len(empty), dtype=np.uint64)))
-        else:
-            have, words = have[full], words[full]
-        slack.append(spare + 1 - need - weak)
-        out.append((mix64(words ^ mix64(have + np.uint64(band << 40) + np.uint64(1))) & ~low) | np.uint64(band))
-        band += 1
-    return np.concatenate(out), own, slack
-
-
-def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
-    """One pass over the texts: a row per document (kind 0), and per flush the keys by bucket (1), pairs (2) and rows of frequent keys (3).
-
-    Rows without keys are dealt to the buckets in turn.
-    """
+    column = batch.column(1)
+    kind = np.int64 if "large" in str(column.type) else np.int32
+    ends = np.frombuffer(column.buffers()[1], dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.empty(0, dtype=np.uint8)
+    at = 0
+    while at < len(column):
+        end = min(max(at + 1, int(np.searchsorted(ends, ends[at] + limits.flush_bytes, "right")) - 1), at + limits.flush_docs, len(column))
+        yield at, end, data[ends[at] : ends[end]], ends[at : end + 1] - ends[at]
+        at = end
+
+
+_OUT = "kind int, id long, n long, d1 long, d2 long, sketch binary, slack array<int>, b long, hits long, need long, key long, step int"
+_PIECE = ", bucket int, keys binary, entry binary, hot binary, ids binary, sizes binary, weak binary, steps binary"
+
+
+def _arrow(ddl: str):
+    import pyarrow as pa
+
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+    return pa.schema([(name, kinds[kind]) for name, kind in map(str.split, ddl.split(", "))])
+
+
+def _batch(schema, rows: int, /, **columns):
+    import pyarrow as pa
+
+    cols = [columns.get(f.name) for f in schema]
+    return pa.RecordBatch.from_arrays([pa.nulls(rows, f.type) if c is None else c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in zip(schema, cols, strict=True)], schema=schema)
+
+
+def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int, limits: Limits) -> DataFrame:
+    """One pass over the texts. Kind 0: a row per document. Kind 1: keys of a flush by bucket, sorted, with the entries
+    (document and band) they belong to. Kind 3: rows of keys that many documents of the flush share, and kind 4: pairs
+    of those with the first. Rows without keys are dealt to the buckets in turn."""
 
     def run(batches):
         import numpy as np
-        import pyarrow as pa
 
-        from arborlens.llm.common import mix64, shingle_hashes, word_hashes
-
-        schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary()), ("mini", pa.binary()), ("bucket", pa.int32()), ("keys", pa.binary()), ("at", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("hot", pa.binary()), ("minis", pa.binary()), ("band", pa.int32()), ("slack", pa.list_(pa.int32()))])
-        names = schema.names
+        schema = _arrow(_OUT + _PIECE)
         dealt = 0
 
-        def rows(found):
+        def deal(n):
             nonlocal dealt
-            for r in found:
-                if "bucket" not in r:
-                    r["bucket"] = dealt % buckets
-                    dealt += 1
-            return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in found], schema.field(c).type) for c in names], schema=schema)
-
-        def flush(held):
-            keys = np.concatenate([k for _, _, k, _ in held])
-            at = np.repeat(np.arange(len(held), dtype=np.int32), [len(k) for _, _, k, _ in held])
-            ids = np.array([i for i, _, _, _ in held], dtype=np.int64)
-            sizes = np.array([n for _, n, _, _ in held], dtype=np.int32)
-            words = mini_words(sizes.astype(np.int64), num, den)
-            whole = np.frombuffer(b"".join(m for _, _, _, m in held), dtype=np.uint64).reshape(len(held), -1)
-            minis = [folded(m, w).tobytes() if w else b"" for m, w in zip(whole, words.tolist(), strict=True)]
-            order = np.lexsort((ids[at], keys))
-            keys, at = keys[order], at[order]
-            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            runs = np.diff(np.append(starts, len(keys)))
-            first = np.repeat(starts, runs)
-            many = np.repeat(runs > LOCAL_GROUP, runs)
-            out = []
-            if many.any():
-                pairs = np.unique(np.stack((ids[at[first[many]]], ids[at[many]])), axis=1)
-                out.append({"kind": 2, "ids": pairs[0].tobytes(), "at": pairs[1].tobytes()})
-                stay = ~many | (np.arange(len(keys)) == first)
-                out.append({"kind": 3, "ids": ids[at[~stay]].tobytes(), "keys": keys[~stay].tobytes()})
-                keys, at, many = keys[stay], at[stay], many[stay]
-            bucket = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                rows_here = order[cuts[b] : cuts[b + 1]]
-                if len(rows_here):
-                    used, where = np.unique(at[rows_here], return_inverse=True)
-                    out.append({"kind": 1, "bucket": b, "keys": keys[rows_here].tobytes(), "at": where.astype(np.int32).tobytes(), "ids": ids[used].tobytes(), "sizes": sizes[used].tobytes(), "hot": np.packbits(many[rows_here]).tobytes(), "minis": b"".join(minis[u] for u in used.tolist())})
-            return rows(out)
-
-        held, seen, used = [], {}, 0
+            dealt += n
+            return (np.arange(dealt - n, dealt) % buckets).astype(np.int32)
+
         for batch in batches:
-            info = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = text.as_buffer()
-                raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.empty(0, dtype=np.uint8)
-                s = shingle_hashes(word_hashes(raw), width)
-                n = len(s)
-                if not n:
-                    info.append({"kind": 0, "id": i, "n": 0})
+            every = np.array(batch.column(0).fill_null(0)), ~np.array(batch.column(0).is_null())
+            for a, b, data, ends in _chunks(batch, limits):
+                ids, known = every[0][a:b], every[1][a:b]
+                sets = Sets(data, ends, width)
+                n, (d1, d2) = sets.n, sets.digests()
+                edges, parts = bands(num, den, int(n.max(initial=1)))
+                fresh, seen = np.zeros(len(n), dtype=bool), set()  # equal sets of a flush send their keys once
+                for i in np.flatnonzero(known & (n > 0)).tolist():
+                    if (at := (d1[i], d2[i], n[i])) not in seen:
+                        seen.add(at)
+                        fresh[i] = True
+                own = np.searchsorted(edges, n, "right") - 1
+                reach = n * den // num
+                keys, entry, entries = [], [], []
+                slack = [[] if f else None for f in fresh.tolist()]
+                held, step = 0, 0
+                docs = np.flatnonzero(fresh)
+                while len(docs):
+                    band = own[docs] + step
+                    smax = n[docs] + np.minimum(edges[band + 1] - 1, reach[docs])
+                    k, at, weak, sent, room = sets.keys(docs, band, parts[band], smax, num, den)
+                    keys.append(k)
+                    entry.append(at + held)
+                    entries.append((ids[docs], n[docs], 2 * weak + sent, np.full(len(docs), step)))
+                    for i, r in zip(docs.tolist(), room.tolist(), strict=True):
+                        slack[i].append(r)
+                    held += len(docs)
+                    step += 1
+                    docs = docs[edges[own[docs] + step] <= reach[docs]]
+                yield _batch(schema, b - a, kind=np.zeros(b - a, np.int32), id=batch.column(0).slice(a, b - a), n=n, d1=d1, d2=d2, sketch=sets.sketches(), slack=slack, bucket=deal(b - a))
+                del sets
+                if not held:
                     continue
-                mixed = mix64(s)
-                with np.errstate(over="ignore"):
-                    d1, d2 = int(mixed.sum().view(np.int64)), int(mix64(s ^ np.uint64(0xA24BAED4963EE407)).sum().view(np.int64))
-                info.append({"kind": 0, "id": i, "n": n, "d1": d1, "d2": d2, "sketch": parity_sketch(mixed, sketch_bytes(n)), "mini": parity_sketch(mixed, MINI_BYTES)})
-                if i is not None and (d1, d2, n) not in seen:  # equal sets of a flush send their keys once
-                    seen[(d1, d2, n)] = i
-                    keys, band, slack = part_keys(s, num, den)
-                    info[-1] |= {"band": band, "slack": slack}
-                    held.append((i, n, keys, info[-1]["mini"]))
-                    used += len(raw)
-                    if used >= FLUSH_BYTES:
-                        yield rows(info)
-                        info = []
-                        yield flush(held)
-                        held, seen, used = [], {}, 0
-            if info:
-                yield rows(info)
-        if held:
-            yield flush(held)
-
-    return source.mapInArrow(run, "kind int, id long, n long, d1 long, d2 long, sketch binary, mini binary, bucket int, keys binary, at binary, ids binary, sizes binary, hot binary, minis binary, band int, slack array<int>")
-
-
-def _candidates(signed: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
-    """The signatures without their keys by bucket, and in place of those: pairs (id, b) that share a key (kind 4), and
-    rows (id, key) of the keys that too many share (kind 5). One partition holds whole keys; they are written
-    once, by the shuffle."""
-    kept = ["kind", "id", "n", "d1", "d2", "sketch", "mini", "keys", "at", "ids", "band", "slack"]
+                keys, entry = np.concatenate(keys), np.concatenate(entry)
+                ids, sizes, weak, steps = (np.concatenate(c) for c in zip(*entries, strict=True))
+                bucket = (keys >> np.uint64(40)) % np.uint64(buckets)
+                keys = (bucket << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
+                rank = np.empty(held, dtype=np.int32)
+                rank[np.lexsort((ids, steps > 0))] = np.arange(held)
+                order = np.lexsort((rank[entry], keys))  # the first of a key is a document of the band, if there is one
+                keys, entry = keys[order], entry[order]
+                starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+                runs = np.diff(np.append(starts, len(keys)))
+                hot = np.repeat(runs > limits.local_group, runs)
+                if hot.any():
+                    first = np.repeat(starts, runs)
+                    mine = np.flatnonzero(hot & (first != np.arange(len(keys))))
+                    x, y = entry[first[mine]], entry[mine]
+                    fit = (np.minimum(sizes[x], sizes[y]) * den >= np.maximum(sizes[x], sizes[y]) * num) & (ids[x] != ids[y])
+                    pairs = np.unique(np.sort(np.stack((ids[x[fit]], ids[y[fit]])), axis=0), axis=1)
+                    one = np.ones(pairs.shape[1], dtype=np.int64)
+                    yield _batch(schema, len(one), kind=4 * one, id=pairs[0], b=pairs[1], hits=one, need=one, bucket=deal(len(one)))
+                    yield _batch(schema, 1, kind=[3], bucket=deal(1), keys=[keys[mine].tobytes()], ids=[ids[entry[mine]].tobytes()], steps=[steps[entry[mine]].astype(np.uint8).tobytes()])
+                    stay = ~hot | (first == np.arange(len(keys)))
+                    keys, entry, hot = keys[stay], entry[stay], hot[stay]
+                bucket = (keys >> np.uint64(32)).astype(np.int64)
+                found = np.unique(bucket)
+                rows = []
+                for x, s, e in zip(found.tolist(), np.searchsorted(bucket, found).tolist(), np.searchsorted(bucket, found, "right").tolist(), strict=True):
+                    used, at = np.unique(entry[s:e], return_inverse=True)
+                    rows.append((x, keys[s:e].astype(np.uint32).tobytes(), at.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes(), np.packbits(hot[s:e]).tobytes(), ids[used].tobytes(), sizes[used].astype(np.int32).tobytes(), weak[used].astype(np.uint32).tobytes(), steps[used].astype(np.uint8).tobytes()))
+                columns = dict(zip(("bucket", "keys", "entry", "hot", "ids", "sizes", "weak", "steps"), map(list, zip(*rows, strict=True)), strict=True))
+                yield _batch(schema, len(rows), kind=np.ones(len(rows), np.int32), **columns)
+
+    return source.mapInArrow(run, _OUT + _PIECE)
+
+
+class Pieces:
+    """The keys of a task as they came, and their entries; slices of the key range are put together one at a time."""
+
+    def __init__(self, limits: Limits):
+        self.limits = limits
+        self.held, self.tables, self.count, self.entries = [], [], 0, 0
+
+    def add(self, keys, entry, hot, ids, sizes, weak, steps):
+        import numpy as np
 
-    def run(batches):
+        keys = np.frombuffer(keys, dtype=np.uint32)
+        self.held.append((keys, np.frombuffer(entry, dtype=np.uint16 if len(entry) == 2 * len(keys) else np.uint32), np.frombuffer(hot, dtype=np.uint8), self.entries))
+        self.tables.append((np.frombuffer(ids, dtype=np.int64), np.frombuffer(sizes, dtype=np.int32), np.frombuffer(weak, dtype=np.uint32), np.frombuffer(steps, dtype=np.uint8)))
+        self.count += len(keys)
+        self.entries += len(self.tables[-1][0])
+
+    def slices(self):
+        """(keys, entry, hot) of one range of keys after another."""
         import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
 
-        got, minis, seen = [[], [], [], [], []], [], 0
-        for batch in batches:
-            blob = pc.equal(batch.column("kind"), 1)
-            rest = batch.filter(pc.invert(blob)).select(kept)
-            if rest.num_rows:
-                none = pa.nulls(rest.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([*rest.columns, none, none, none, none], names=[*kept, "b", "key", "hits", "need"])
-            batch = batch.filter(blob)
-            for keys, at, ids, sizes, hot, mini in zip(*(batch.column(c).to_pylist() for c in ("keys", "at", "ids", "sizes", "hot", "minis")), strict=True):
-                k = np.frombuffer(keys, dtype=np.uint64)
-                at = np.frombuffer(at, dtype=np.int32)
-                got[0].append(k)
-                got[1].append(np.frombuffer(ids, dtype=np.int64)[at])
-                got[2].append(np.frombuffer(sizes, dtype=np.int32)[at])
-                got[3].append(np.unpackbits(np.frombuffer(hot, dtype=np.uint8), count=len(k)).astype(bool))
-                flat, n_here = np.frombuffer(mini, dtype=np.uint64), np.frombuffer(sizes, dtype=np.int32).astype(np.int64)
-                words = mini_words(n_here, num, den)
-                begin = np.cumsum(words) - words
-                table = np.zeros((len(words), MINI_BYTES // 8), dtype=np.uint64)
-                for j in range(table.shape[1]):
-                    table[words > j, j] = flat[begin[words > j] + j]
-                minis.append(table)
-                got[4].append(at + np.int32(seen))
-                seen += len(table)
-        if not got[0]:
-            return
-        keys = np.concatenate(got[0])
+        self.tables = [np.concatenate(c) for c in zip(*self.tables, strict=True)]
+        steps = -(-self.count // self.limits.slice_keys)
+        bounds = [(k << 32) // steps for k in range(steps + 1)]
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            got = []
+            for keys, entry, hot, base in self.held:
+                s, e = (len(keys) if x >> 32 else int(np.searchsorted(keys, np.uint32(x))) for x in (low, high))
+                if e > s:
+                    got.append((keys[s:e], entry[s:e].astype(np.int64) + base, np.unpackbits(hot[s // 8 : -(-e // 8)])[s % 8 : s % 8 + e - s].astype(bool)))
+            if got:
+                yield tuple(np.concatenate(c) for c in zip(*got, strict=True))
+
+
+class Tally:
+    """Pairs with their common keys and the number that they need, summed up as they come."""
+
+    def __init__(self, most: int):
+        self.parts, self.held, self.most = [], 0, most
+
+    def add(self, a, b, need):
+        import numpy as np
+
+        self.parts.append((a, b, np.ones(len(a), dtype=np.int64), need))
+        self.held += len(a)
+        if self.held > self.most:
+            self.sum()
+
+    def sum(self):
+        import numpy as np
+
+        a, b, hits, need = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(a)), dtype=bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        if len(a):
+            a, b, hits, need = a[starts], b[starts], np.add.reduceat(hits[order], starts), np.minimum.reduceat(need[order], starts)
+        self.parts, self.held = [(a, b, hits, need)], len(a)
+
+    def taken(self, least: int):
+        """Batches of what is held, if that is more than ``least``."""
+        import numpy as np
+
+        if self.parts and self.held > least:
+            self.sum()
+            (columns,) = self.parts
+            self.parts, self.held = [], 0
+            for at in range(0, len(columns[0]), 100_000):
+                a, b, hits, need = (c[at : at + 100_000] for c in columns)
+                yield _batch(_arrow(_OUT), len(a), kind=np.full(len(a), 4, np.int32), id=a, b=b, hits=hits, need=need)
+
+
+def _noted(ids, keys, steps):
+    """Rows of frequent keys."""
+    import numpy as np
+
+    for at in range(0, len(ids), 100_000):
+        k = slice(at, at + 100_000)
+        n = len(ids[k])
+        yield _batch(_arrow(_OUT), n, kind=np.full(n, 5, np.int32), id=ids[k], key=keys[k].view(np.int64), step=steps[k].astype(np.int32))
+
+
+def _grouped(pieces: Pieces, bucket: int, num: int, den: int):
+    """Pairs and rows of frequent keys of one bucket."""
+    import numpy as np
+
+    limits = pieces.limits
+    tally, edges, parts = Tally(4 * limits.slice_keys), None, None
+    for keys, entry, hot in pieces.slices():
+        ids, sizes, weak, steps = pieces.tables
+        if edges is None:
+            edges, parts = bands(num, den, int(sizes.max()))
         order = np.argsort(keys, kind="stable")
         same = keys[order[1:]] == keys[order[:-1]]
-        flags = np.concatenate(got[3])
-        twin = np.concatenate(([False], same)) | np.concatenate((same, [False])) | flags[order]
-        order = order[twin]  # keys of one document go at once
-        keys, ids, sizes, flags = keys[order], np.concatenate(got[1])[order], np.concatenate(got[2])[order].astype(np.int64), flags[order]
-        whose, minis = np.concatenate(got[4])[order], np.concatenate(minis)
-        got.clear()
-        order = np.lexsort((ids, keys))
-        keys, ids, sizes, flags, whose = keys[order], ids[order], sizes[order], flags[order], whose[order]
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, dtype=np.int64)
+        order = order[np.concatenate(([False], same)) | np.concatenate((same, [False])) | hot[order]]  # keys of one document go at once
+        keys, entry, hot = keys[order], entry[order], hot[order]
+        order = np.lexsort((ids[entry], steps[entry] > 0, keys))
+        keys, entry, hot = keys[order], entry[order], hot[order]
+        if not len(keys):
+            continue
+        # Pairs are met in the band of the larger document: a group without a document of the band has none.
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         runs = np.diff(np.append(starts, len(keys)))
-        forced = np.logical_or.reduceat(flags, starts) if len(starts) else flags
-        large = np.repeat((runs > SMALL_GROUP) | forced, runs)
-        first = np.repeat(starts, runs)
+        own = np.repeat(steps[entry[starts]] == 0, runs)
+        keys, entry, hot = keys[own], entry[own], hot[own]
+        if not len(keys):
+            continue
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        runs = np.diff(np.append(starts, len(keys)))
+        large = np.repeat((runs > limits.small_group) | np.logical_or.reduceat(hot, starts), runs)
+        first, length = np.repeat(starts, runs), np.repeat(runs, runs)
         place = np.arange(len(keys)) - first
-        length = np.repeat(runs, runs)
+        member = steps[entry] == 0
         a, b = [first[large & (place > 0)]], [np.flatnonzero(large & (place > 0))]
-        for step in range(1, SMALL_GROUP):
-            left = np.flatnonzero(~large & (place + step < length))
+        for step in range(1, limits.small_group):
+            left = np.flatnonzero(~large & member & (place + step < length))
             a.append(left)
             b.append(left + step)
-        a, b = np.concatenate(a), np.concatenate(b)
-        low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-        fit = (low * den >= high * num) & (ids[a] != ids[b])
-        a, b, low, high = a[fit], b[fit], low[fit], high[fit]
-        fit = np.ones(len(a), dtype=bool)
-        words = np.minimum(mini_words(low, num, den), mini_words(high, num, den))
-        for w in np.unique(words[words > 0]).tolist():
-            some = np.flatnonzero(words == w)
-            for at in range(0, len(some), 100_000):
-                here = some[at : at + 100_000]
-                x, y = (folded(minis[whose[c[here]]], w) for c in (a, b))
-                fit[here] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= max_difference((low + high)[here], num, den)
-        a, b, low = a[fit], b[fit], low[fit]
-        # The pair's own least band tells how many common keys it has at least.
-        edges = np.array(band_edges(int(low.max(initial=1))))
-        needs = np.array([spare_and_need(max_difference(2 * (int(e) - 1), num, den))[1] for e in edges[1:]])
-        need = needs[np.searchsorted(edges, low, side="right") - 1]
-        first_id, second_id = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-        order = np.lexsort((second_id, first_id))
-        first_id, second_id, need = first_id[order], second_id[order], need[order]
-        starts = np.flatnonzero(np.concatenate(([True], (first_id[1:] != first_id[:-1]) | (second_id[1:] != second_id[:-1])))) if len(order) else order
-        hits = np.diff(np.append(starts, len(order)))
-        for made in ({"id": first_id[starts], "b": second_id[starts], "hits": hits, "need": need[starts]}, {"id": ids[large], "key": keys[large].view(np.int64)}):
-            for at in range(0, len(made["id"]), 100_000):
-                n = len(made["id"][at : at + 100_000])
-                here = {c: pa.array(v[at : at + n], pa.int64()) for c, v in made.items()}
-                here["kind"] = pa.array(np.full(n, 4 if "b" in made else 5, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([here[f.name] if f.name in here else pa.nulls(n, f.type) for f in out], schema=out)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    shape = StructType([f for f in signed.schema if f.name in kept] + [StructField(c, LongType()) for c in ("b", "key", "hits", "need")])
-    shape = StructType(sorted(shape, key=lambda f: [*kept, "b", "key", "hits", "need"].index(f.name)))
-    out = to_arrow_schema(shape)
-    return signed.repartition(buckets, "bucket").mapInArrow(run, shape)
-
-
-def _unpacked(blobs: DataFrame, left: str, right: str, names: tuple[str, str]) -> DataFrame:
+        stars = len(a[0])
+        x, y = entry[np.concatenate(a)], entry[np.concatenate(b)]
+        low, high = np.minimum(sizes[x], sizes[y]).astype(np.int64), np.maximum(sizes[x], sizes[y]).astype(np.int64)
+        least = parts[np.searchsorted(edges, high, "right") - 1] - max_difference(low + high, num, den)
+        least -= np.where((weak[x] & weak[y] & 1) == 1, 0, np.minimum(weak[x], weak[y]).astype(np.int64) >> 1)
+        least = np.maximum(1, (least + 1) // 2)
+        least[:stars] = 1
+        fit = (low * den >= high * num) & (ids[x] != ids[y])
+        x, y, least = ids[x[fit]], ids[y[fit]], least[fit]
+        tally.add(np.minimum(x, y), np.maximum(x, y), least)
+        yield from tally.taken(2 * limits.slice_keys)
+        yield from _noted(ids[entry[large]], keys[large].astype(np.uint64) | np.uint64(bucket << 32), steps[entry[large]])
+    yield from tally.taken(0)
+
+
+def _candidates(signed: DataFrame, num: int, den: int, buckets: int, limits: Limits) -> DataFrame:
+    """Rows of kind 0 and 4 as they are, pairs (id, b) with common keys (4), and rows (id, key, step) of frequent keys (5).
+
+    A partition holds whole keys. They are written once, by the shuffle, and kept as they came; only a slice of the
+    key range is unpacked at a time.
+    """
+
     def run(batches):
         import numpy as np
-        import pyarrow as pa
+        import pyarrow.compute as pc
 
+        names, held = _arrow(_OUT).names, {}
         for batch in batches:
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(v, dtype=np.int64), pa.int64()) for v in (x, y)], names=list(names))
-
-    return blobs.select(left, right).mapInArrow(run, f"{names[0]} long, {names[1]} long")
-
-
-def _shingle_sets(source: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+            kinds = batch.column("kind")
+            plain = batch.filter(pc.or_(pc.equal(kinds, 0), pc.equal(kinds, 4))).select(names)
+            if plain.num_rows:
+                yield plain
+            local = batch.filter(pc.equal(kinds, 3))
+            for keys, ids, steps in zip(*(local.column(c).to_pylist() for c in ("keys", "ids", "steps")), strict=True):
+                yield from _noted(np.frombuffer(ids, dtype=np.int64), np.frombuffer(keys, dtype=np.uint64), np.frombuffer(steps, dtype=np.uint8))
+            blobs = batch.filter(pc.equal(kinds, 1))
+            for bucket, *blob in zip(*(blobs.column(c).to_pylist() for c in ("bucket", "keys", "entry", "hot", "ids", "sizes", "weak", "steps")), strict=True):
+                held.setdefault(bucket, Pieces(limits)).add(*blob)
+        for bucket in list(held):
+            yield from _grouped(held.pop(bucket), bucket, num, den)
+
+    return signed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, _OUT)
+
+
+def _shingle_sets(source: DataFrame, ids: DataFrame, width: int, limits: Limits) -> DataFrame:
     """(id, shingles) of the documents in ``ids``. Few ids are broadcast after they are counted; more are joined by a shuffle."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        from arborlens.llm.common import shingle_hashes, word_hashes
-
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                sets = [shingle_hashes(word_hashes(np.frombuffer(b, dtype=np.uint8) if (b := t.as_buffer()) is not None and b.size else np.empty(0, dtype=np.uint8)), width).tobytes() for t in some.column(1)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            for a, b, data, ends in _chunks(batch, limits):
+                sets = Sets(data, ends, width)
+                lists = pa.ListArray.from_arrays(pa.array(sets.at, pa.int32()), pa.array(sets.hashes.view("int64"), pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["id", "shingles"])
 
     few = ids.count() <= BROADCAST_IDS
-    return source.join(F.broadcast(ids) if few else ids, "id").mapInArrow(run, "id long, shingles binary")
+    return source.join(F.broadcast(ids) if few else ids, "id").mapInArrow(run, "id long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, source: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, source: DataFrame, width: int, num: int, den: int, limits: Limits) -> DataFrame:
     """The pairs whose sets reach the Jaccard index. A hot left or right id is split by adaptive execution."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(_shingle_sets(source, cut(ids), width))
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sets = _shingle_sets(source, ids, width, limits)
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    linked = cut(both.where(f"size(array_intersect(x, y)) * {den + num}L >= (size(x) + size(y)) * {num}L").select("a", "b").distinct())
+    forget(ids)
+    return linked
 
 
 def _near(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
@@ -398,37 +496,102 @@ def _near(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
     return both.where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def _unsafe(hot: DataFrame, signed: DataFrame) -> DataFrame:
+def _unsafe(hot: DataFrame, info: DataFrame) -> DataFrame:
     """The rows (id, key) of documents with more frequent keys in the key's band than their slack there.
 
     The rows of one document and band are counted; a document has as many as it has parts at most. An id whose
     rows differ is counted over all of them, which only adds rows.
     """
-    band = F.expr(f"cast(key & {(1 << BAND_BITS) - 1} as int)").alias("at")
-    rows = hot.select("id", "key", band)
-    slack = signed.where("kind = 0 and slack is not null").select("id", "band", "slack")
-    many = rows.groupBy("id", "at").agg(F.count("*").alias("c")).join(slack, "id").where("c > get(slack, at - band)").select("id", "at").distinct()
-    return rows.join(many, ["id", "at"]).select("id", "key")
-
-
-def _across(hot: DataFrame, info: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a frequent key that lie in different components: all rows of all but the key's largest component
-    against every row, where sizes and small sketches allow a link."""
-    words = range(MINI_BYTES // 8)
-    mini = [F.expr(f"cast(conv(hex(substring(mini, {8 * k + 1}, 8)), 16, -10) as long)").alias(f"m{k}") for k in words]
-    known = hot.distinct().join(info.select("id", "n", *mini), "id").join(comps.withColumnRenamed("node", "id"), "id", "left")
-    known = cut(known.select("key", "id", "n", *(f"m{k}" for k in words), F.coalesce("component", "id").alias("comp")))
-    counted = known.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    top = counted.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("t"), F.count("*").alias("k")).where("k > 1").select("key", F.col("t.comp").alias("top"))
-    rows = known.join(top, "key")
-    left = rows.where("comp <> top").select("key", F.col("id").alias("a"), F.col("n").alias("na"), *(F.col(f"m{k}").alias(f"x{k}") for k in words), F.col("comp").alias("ca"))
-    right = rows.select(F.col("key").alias("key_b"), F.col("id").alias("b"), F.col("n").alias("nb"), *(F.col(f"m{k}").alias(f"y{k}") for k in words), F.col("comp").alias("cb"), "top")
-    near = f"{' + '.join(f'bit_count(x{k} ^ y{k})' for k in words)} <= ((na + nb) * {den - num}) div {den + num}"
-    met = left.join(right, F.expr(f"key = key_b and ca <> cb and (cb = top or a < b) and least(na, nb) * {den} >= greatest(na, nb) * {num} and {near}"))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-
-
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    slack = info.where("slack is not null").select("id", "slack")
+    many = hot.groupBy("id", "step").agg(F.count("*").alias("c")).join(slack, "id").where("c > coalesce(get(slack, step), 0)").select("id", "step").distinct()
+    return hot.join(many, ["id", "step"]).select("id", "key").distinct()
+
+
+def _across(unsafe: DataFrame, info: DataFrame, comps: DataFrame, num: int, den: int, limits: Limits, again: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of a frequent key in different components whose sizes and whole sketches allow a link.
+
+    Every document outside the key's largest component is compared with all others of the key, once. Of the
+    pairs of a document with one component the one of the least distance is returned; ``again`` names documents
+    of which all pairs are. A key's documents are dealt to blocks of at most about ``block`` rows on either side.
+    """
+    known = unsafe.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    counted = known.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("id").alias("lead"))
+    stats = counted.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("t"), F.sum("c").alias("g"), F.min("lead").alias("lead"), F.count("*").alias("k")).where("k > 1")
+    stats = stats.selectExpr("key", "lead", "t.comp as top", f"ceil(g / {limits.block}) as ms", f"ceil((g - t.c) / {limits.block}) as qs")
+    rows = known.join(stats, "key").join(info.select("id", "n", "sketch"), "id")
+    if again is None:
+        rows = rows.withColumn("asks", F.col("comp") != F.col("top"))
+    else:
+        rows = rows.join(again.select("id", F.lit(True).alias("asks")), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False))).withColumn("qs", F.col("ms"))
+    rows = rows.withColumn("m", F.pmod(F.xxhash64("id"), F.col("ms"))).withColumn("q", F.pmod(F.xxhash64("id", F.lit(1)), F.col("qs")))
+    stands = F.expr("transform(sequence(0L, qs - 1), q2 -> struct(m as am, q2 as aq))")
+    asks = F.expr("if(asks, transform(sequence(0L, ms - 1), m2 -> struct(m2 as am, q as aq)), array())")
+    dealt = rows.withColumn("at", F.explode(F.array_union(stands, asks)))
+    dealt = dealt.selectExpr("lead", "key", "at.am am", "at.aq aq", "id", "comp", "top", "n", "sketch", "at.am = m as stands", "asks and at.aq = q as asks")
+    best = again is None
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def joined(group):
+            """Ordered pairs (asking, standing) of the rows of one block."""
+            ids, comp, top, n = (np.array([r[k] for r in group], dtype=np.int64) for k in ("id", "comp", "top", "n"))
+            stand, ask = (np.array([r[k] for r in group], dtype=bool) for k in ("stands", "asks"))
+            words = np.array([len(r["sketch"]) // 8 for r in group])
+            for cl in np.unique(words[ask]).tolist():
+                left = np.flatnonzero(ask & (words == cl))
+                for cr in np.unique(words[stand]).tolist():
+                    right = np.flatnonzero(stand & (words == cr))
+                    w = min(cl, cr)
+                    x, y = (folded(np.array([np.frombuffer(group[i]["sketch"], dtype=np.uint64) for i in at.tolist()]), w) for at in (left, right))
+                    some = max(1, PRODUCT_WORDS // (w * len(right)))
+                    for at in range(0, len(left), some):
+                        i = left[at : at + some]
+                        total = n[i][:, None] + n[right][None, :]
+                        fit = comp[i][:, None] != comp[right][None, :]
+                        fit &= np.minimum(n[i][:, None], n[right][None, :]) * den >= np.maximum(n[i][:, None], n[right][None, :]) * num
+                        if best:
+                            fit &= (comp[right] == top[right])[None, :] | (ids[i][:, None] < ids[right][None, :])
+                        if not fit.any():
+                            continue
+                        apart = np.bitwise_count(x[at : at + some][:, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+                        row, col = np.nonzero(fit & (apart <= max_difference(total, num, den)))
+                        if best:
+                            order = np.lexsort((apart[row, col], comp[right[col]], row))
+                            row, col = row[order], col[order]
+                            new = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), dtype=bool), (row[1:] != row[:-1]) | (comp[right[col[1:]]] != comp[right[col[:-1]]]))))
+                            row, col = row[new], col[new]
+                        yield from zip(ids[i[row]].tolist(), ids[right[col]].tolist(), strict=True)
+
+        group, here, lead, seen = [], None, None, set()
+
+        def flush():
+            nonlocal seen, lead
+            if here[0] != lead:
+                lead, seen = here[0], set()
+            fresh = [p for p in dict.fromkeys(joined(group)) if p not in seen]
+            seen.update(fresh)
+            if len(seen) > 1_000_000:
+                seen = set()
+            for at in range(0, len(fresh), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*fresh[at : at + 100_000], strict=True)], names=["a", "b"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (now := (r["lead"], r["key"], r["am"], r["aq"])) != here:
+                    if group:
+                        yield from flush()
+                    group, here = [], now
+                group.append(r)
+        if group:
+            yield from flush()
+
+    # Keys of about the same documents share their first one: they go to one task, which meets their pairs once.
+    return dealt.repartition("lead", "am", "aq").sortWithinPartitions("lead", "am", "aq", "key").mapInArrow(run, "a long, b long").distinct()
+
+
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, limits: Limits = Limits()) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``df``: components of the links with Jaccard index >= num / den.
 
     Words are runs of characters other than white space (\\x20, \\x09-\\x0D), A-Z lower-cased; a text of fewer
@@ -440,27 +603,38 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    signed = cut(_candidates(_signatures(source, width, num, den, buckets), num, den, buckets))
-    info = signed.where("kind = 0").select("id", "n", "d1", "d2")
-    local = _unpacked(signed.where("kind = 2"), "ids", "at", ("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    signed = cut(_candidates(_signatures(source, width, num, den, buckets, limits), num, den, buckets, limits))
+    info = signed.where("kind = 0").select("id", "n", "d1", "d2", "sketch", "slack")
+    filled = info.where("n > 0 and id is not null")
     counted = signed.where("kind = 4").groupBy(F.col("id").alias("a"), "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need")
-    # A pair with too few counted keys may share a frequent key besides; such pairs are tried below, if both are unsafe.
-    pairs = cut(counted.select("a", "b").unionByName(local).distinct())
+    near = cut(_near(counted.select("a", "b"), filled, num, den))
     # Equal sets: a star around the smallest id, from a combined aggregate.
-    filled = info.where("n > 0 and id is not null")
     classes = filled.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1")
     copies = filled.join(classes, ["n", "d1", "d2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    sketches = signed.where("kind = 0 and n > 0 and id is not null").select("id", "n", "sketch", "mini")
-    near = cut(_near(pairs, sketches, num, den))
-    edges = cut(copies.unionByName(_verified(near, source, width, num, den)))
-    comps = connected_components(edges)
-    hot = signed.where("kind = 5").select("id", "key").unionByName(_unpacked(signed.where("kind = 3"), "ids", "keys", ("id", "key")))
-    hot = cut(_unsafe(hot, signed))
-    if not hot.isEmpty():
-        more = cut(_near(_across(hot, sketches, comps, num, den).join(pairs, ["a", "b"], "left_anti"), sketches, num, den))
-        if not more.isEmpty():
-            edges = cut(edges.unionByName(_verified(more, source, width, num, den)))
-            comps = connected_components(edges)
-    forget(hot)
+    linked = _verified(near, source, width, num, den, limits)
+    comps = connected_components(copies.unionByName(linked))
+    used = [near, linked]
+    unsafe = cut(_unsafe(signed.where("kind = 5").select("id", "key", "step"), filled))
+    tried, again = None, None
+    while not unsafe.isEmpty():
+        more = _across(unsafe, filled, comps, num, den, limits, again)
+        more = cut(more if tried is None else more.join(tried, ["a", "b"], "left_anti"))
+        used.append(more)
+        if more.isEmpty():
+            break
+        linked = _verified(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), source, width, num, den, limits)
+        used.append(linked)
+        comps = connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked))
+        if tried is not None:
+            break
+        # A pair that fails says nothing of others between the document and that component: those come in a second round.
+        met = more.join(linked.select(F.col("a").alias("x"), F.col("b").alias("y")), F.expr("x = least(a, b) and y = greatest(a, b)"), "left_anti")
+        tried, again = more, cut(met.select(F.col("a").alias("id")).distinct())
+        used.append(again)
+        if again.isEmpty():
+            break
     out = info.join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = cut(out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")))
+    for table in (signed, unsafe, *used):
+        forget(table)
+    return out

@@ -72,27 +72,62 @@ def shingles(text, width):
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
 
-@pytest.mark.parametrize("width,num", [(4, 85), (5, 80), (2, 50)])
-def test_sketch_join(spark, width, num, monkeypatch):
-    rnd = random.Random(width)
-    rows, words = [], [f"w{k}" for k in range(300)]
-    for base in range(12):
-        text = rnd.choices(words, k=rnd.choice([1, 3, 6, 9, 20, 60, 200, 600]))
-        for _ in range(rnd.choice([1, 2, 5, 30])):
+SMALL = sketch_join.Limits(small_group=3, local_group=5, flush_bytes=4000, flush_docs=20, slice_keys=64, block=6)
+
+
+def near_copies(rnd, words, sizes, copies, edits):
+    rows = []
+    for _ in range(12):
+        text = rnd.choices(words, k=rnd.choice(sizes))
+        for _ in range(rnd.choice(copies)):
             t = list(text)
-            for _ in range(rnd.choice([0, 0, 1, 2, 4])):
+            for _ in range(rnd.choice(edits)):
                 t[rnd.randrange(len(t))] = rnd.choice(words)
-            rows.append((len(rows), " ".join(t)))
+            rows.append(" ".join(t))
     shared = " ".join(rnd.choices(words, k=40))
-    rows += [(len(rows) + k, f"{shared} {' '.join(rnd.choices(words, k=15 + k))}") for k in range(30)]
+    rows += [f"{shared} {' '.join(rnd.choices(words, k=15 + k))}" for k in range(30)]
+    rows += [f"{shared} {' '.join(rnd.choices(words, k=rnd.randint(1, 9)))}" for k in range(80)]
+    return list(enumerate(rows))
+
+
+def held_against_brute_force(spark, rows, width, num, limits):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in sketch_join.near_duplicates(docs(spark, rows).repartition(3), width=width, num=num, den=100, limits=limits).collect()}
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(i, []).append(shingles(t, width))
+    linked = lambda x, y: x and 100 * len(x & y) >= num * len(x | y)
+    links = [(a, b) for a, b in itertools.combinations([i for i in sets if i is not None], 2) if any(linked(x, y) for x in sets[a] for y in sets[b])]
+    want = roots(links, [i for i in sets if i is not None])
+    assert {i: c for i, (_, c) in got.items() if i is not None} == want
+    assert all(got[i][0] in [len(x) for x in sets[i]] for i in want)
+
+
+@pytest.mark.parametrize("width,num", [(4, 85), (5, 80), (2, 50), (1, 95)])
+def test_sketch_join(spark, width, num):
+    """Small limits: keys of many documents, several flushes and slices, blocks of frequent keys."""
+    rnd = random.Random(width)
+    rows = near_copies(rnd, [f"w{k}" for k in range(300)], [1, 3, 6, 9, 20, 60, 200, 600], [1, 2, 5, 30], [0, 0, 1, 2, 4])
     n = len(rows)
     rows += [(n, None), (n + 1, ""), (n + 2, " \t"), (n + 3, "A b\nC"), (n + 4, "a B c"), (None, "a b c")]
-    monkeypatch.setattr(sketch_join, "SMALL_GROUP", 3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in sketch_join.near_duplicates(docs(spark, rows), width=width, num=num, den=100).collect()}
-    sets = {i: shingles(t, width) for i, t in rows if i is not None}
-    links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
-    want = roots(links, sets)
-    assert {i: v for i, v in got.items() if i is not None} == {i: (len(sets[i]), want[i]) for i in sets}
+    held_against_brute_force(spark, rows, width, num, SMALL)
+
+
+def test_sketch_join_defaults(spark):
+    """Production limits: over 64 near copies in a flush, a text above 1 MiB, and rows that repeat an id."""
+    rnd = random.Random(7)
+    words = [f"w{k}" for k in range(3000)]
+    text = rnd.choices(words, k=80)
+    rows = near_copies(rnd, words, [5, 50, 300], [1, 3], [0, 1, 3])
+    for k in range(150):
+        t = list(text)
+        for _ in range(rnd.choice([0, 1, 2, 3, 5])):
+            t[rnd.randrange(80)] = rnd.choice(words)
+        rows.append((1000 + k, " ".join(t)))
+    long = " ".join(rnd.choices(words, k=250_000))
+    assert len(long) > 1 << 20
+    rows += [(2000, long), (2001, long + " tail"), (2002, long[: len(long) // 2])]
+    rows += [(3000, " ".join(text[:30])), (3000, rows[0][1]), (3001, " ".join(text[:30]) + " w1")]
+    held_against_brute_force(spark, rows, 4, 85, sketch_join.Limits())
 
 
 def test_sketch_join_empty(spark):
