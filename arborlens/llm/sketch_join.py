@@ -3,10 +3,11 @@
 A document's set of shingles is XOR-hashed into a bit sketch: every shingle toggles one bit. Each bit of
 Hamming distance between two sketches needs at least one shingle that only one set has, so the distance
 never exceeds the symmetric difference. Two sets of joint size S with Jaccard index >= t differ in at most
-k(S) = floor(S * (1 - t) / (1 + t)) shingles. Documents are put in bands of similar size. In a band every sketch
-is cut into P parts of 64 bits, P above the band's largest k, so a linked pair agrees in at least P - k(S) of
-them (pigeonhole), and equal parts are joined: they are the keys. A document also sends keys for the bands of
-larger partners; a pair is met in the band of its larger one. Parts of at most one shingle say little and are left out where
+k(S) = floor(S * (1 - t) / (1 + t)) shingles. Documents are put in bands of similar size. In a band every set is cut
+by hash ranges into P parts, each with a sketch of its own of 2 ** 64 bits, so sparse that it is held as the XOR of the
+numbers of its bits. P is above the band's largest k, so a linked pair agrees in the sketches of at least P - k(S)
+parts (pigeonhole), and equal parts are joined: they are the keys. A document also sends keys for the bands of
+larger partners; a pair is met in the band of its larger one. Parts without a shingle say little and are left out where
 enough others remain. Pairs with fewer common keys than a linked pair must have are no candidates; the others
 are compared by their whole sketches, and what remains is verified on the sets.
 
@@ -41,12 +42,14 @@ class Limits:
     #: Documents of one flush with a common key from which only the first goes to the shuffle.
     local_group: int = 64
     #: Bytes of text and number of documents that are hashed at once; a longer text is taken alone.
-    flush_bytes: int = 8 << 20
+    flush_bytes: int = 3 << 20
     flush_docs: int = 16384
     #: Keys of a task that are grouped at once.
-    slice_keys: int = 1 << 19
+    slice_keys: int = 1 << 17
     #: Rows of one frequent key on either side of a block.
     block: int = 2048
+    #: Rows of frequent keys with the same first document that one task compares.
+    lead_rows: int = 1 << 14
 
 
 #: 64-bit words that a product of sketches holds.
@@ -56,7 +59,7 @@ LEAST_BYTES, MOST_BYTES = 8, 1 << 13
 #: Ids of documents to verify up to which they are broadcast (8 MB); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Ratio of a band's sizes, and parts beyond its k + 1: a share of k, and a least number where k is small.
-BAND, SPARE, LEAST_SPARE = 1.5, 0.15, 2
+BAND, SPARE, LEAST_SPARE = 1.5, 0.25, 2
 
 
 def max_difference(total, num: int, den: int):
@@ -137,8 +140,8 @@ class Sets:
         return [flat[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
 
     def keys(self, docs, band, parts, smax, num: int, den: int):
-        """Join keys of ``docs`` for a band each: (key, index into docs), and per document (weak parts, whether they are
-        sent too, frequent keys that it may have there while its rare ones still find every partner)."""
+        """Join keys of ``docs`` for a band each: (key, index into docs), and per document twice its empty parts, plus one if
+        those are sent."""
         import numpy as np
 
         from arborlens.llm.common import mix64
@@ -150,28 +153,42 @@ class Sets:
         h, own = self.hashes[chosen], own[chosen]
         part = ((h >> np.uint64(32)) * parts[own].astype(np.uint64)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (own[1:] != own[:-1]))))
-        words = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), h & np.uint64(63)), starts)
-        full = np.diff(np.append(starts, len(h))) > 1
+        words = np.bitwise_xor.reduceat(self.mixed[chosen], starts)
         part, own = part[starts], own[starts]
-        weak = parts - np.bincount(own[full], minlength=len(docs))
+        empty = parts - np.bincount(own, minlength=len(docs))
         least = parts - max_difference(smax, num, den)  # common parts of every linked pair
-        sent = least - weak < np.maximum(1, (least + 1) // 2)
-        keep = full | sent[own]
-        part, own, words = part[keep], own[keep], words[keep]
-        if sent.any():  # parts without any shingle
+        sent = least - empty < np.maximum(1, (least + 1) // 2)
+        if sent.any():
             lone = np.flatnonzero(sent)
-            row = np.repeat(lone, parts[lone])
-            each = np.arange(len(row)) - np.repeat(np.cumsum(parts[lone]) - parts[lone], parts[lone])
-            have = np.zeros(len(row), dtype=bool)
             first = np.zeros(len(docs), dtype=np.int64)
             first[lone] = np.cumsum(parts[lone]) - parts[lone]
+            row = np.repeat(lone, parts[lone])
+            bare = np.ones(len(row), dtype=bool)
             there = sent[own]
-            have[first[own[there]] + part[there].astype(np.int64)] = True
-            own = np.concatenate((own, row[~have]))
-            part = np.concatenate((part, each[~have].astype(np.uint64)))
-            words = np.concatenate((words, np.zeros((~have).sum(), dtype=np.uint64)))
-        slack = np.where(sent, np.where(weak > 0, 0, least // 2), (least - weak) // 2)
-        return mix64(words ^ mix64(part + (band[own].astype(np.uint64) << np.uint64(40)) + np.uint64(1))), own, weak, sent, slack
+            bare[first[own[there]] + part[there].astype(np.int64)] = False
+            part = np.concatenate((part, (np.arange(len(row)) - first[row])[bare].astype(np.uint64)))
+            own = np.concatenate((own, row[bare]))
+            words = np.concatenate((words, np.zeros(bare.sum(), dtype=np.uint64)))
+        return mix64(words ^ mix64(part + (band[own].astype(np.uint64) << np.uint64(40)) + np.uint64(1))), own, 2 * empty + sent
+
+
+def common_keys(edges, parts, low, high, x, y, num: int, den: int):
+    """Common keys that a linked pair of sizes ``low`` and ``high`` has to have to be a candidate: two thirds of those that it has
+    at least. ``x`` and ``y`` hold twice the empty parts of either, plus one if they are sent."""
+    import numpy as np
+
+    have = parts[np.searchsorted(edges, high, "right") - 1] - max_difference(low + high, num, den)
+    have = np.maximum(1, have - np.where((x & y & 1) == 1, 0, np.minimum(x, y).astype(np.int64) >> 1))
+    return have - have // 3
+
+
+def slack(edges, parts, n, empty, step, num: int, den: int):
+    """Frequent keys that a document may have in a band while its rare ones still find every partner."""
+    import numpy as np
+
+    band = np.searchsorted(edges, n, "right") - 1 + step
+    smax = n + np.minimum(edges[band + 1] - 1, n * den // num)
+    return np.maximum(0, parts[band] - max_difference(smax, num, den) - (empty.astype(np.int64) >> 1)) // 3
 
 
 def _chunks(batch, limits: Limits):
@@ -190,8 +207,10 @@ def _chunks(batch, limits: Limits):
         at = end
 
 
-_OUT = "kind int, id long, n long, d1 long, d2 long, sketch binary, slack array<int>, b long, hits long, need long, key long, step int"
-_PIECE = ", bucket int, keys binary, entry binary, hot binary, ids binary, sizes binary, weak binary, steps binary"
+_ROW = "kind int, id long, n long, d1 long, d2 long, sketch binary"
+#: Arrays of numbers as bytes: keys of one bucket, pairs or rows of frequent keys.
+_BLOB = ", bucket int, keys binary, entry binary, hot binary, ids binary, sizes binary, empty binary, steps binary"
+_OUT = _ROW + ", b long, key long"
 
 
 def _arrow(ddl: str):
@@ -208,15 +227,29 @@ def _batch(schema, rows: int, /, **columns):
     return pa.RecordBatch.from_arrays([pa.nulls(rows, f.type) if c is None else c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in zip(schema, cols, strict=True)], schema=schema)
 
 
+def _packed(kind: int, owner, buckets: int, **columns):
+    """Arrays cut up by a bucket of their owner, a row for each bucket."""
+    import numpy as np
+
+    from arborlens.llm.common import mix64
+
+    bucket = (mix64(owner.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    found, starts = np.unique(bucket[order], return_index=True)
+    columns = {c: np.split(v[order], starts[1:]) for c, v in columns.items()}
+    if len(found):
+        yield _batch(_arrow(_ROW + _BLOB), len(found), kind=np.full(len(found), kind, np.int32), bucket=found, **{c: [x.tobytes() for x in v] for c, v in columns.items()})
+
+
 def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int, limits: Limits) -> DataFrame:
     """One pass over the texts. Kind 0: a row per document. Kind 1: keys of a flush by bucket, sorted, with the entries
-    (document and band) they belong to. Kind 3: rows of keys that many documents of the flush share, and kind 4: pairs
+    (document and band) they belong to. Kind 3: rows of keys that many documents of the flush share, and kind 2: pairs
     of those with the first. Rows without keys are dealt to the buckets in turn."""
 
     def run(batches):
         import numpy as np
 
-        schema = _arrow(_OUT + _PIECE)
+        schema = _arrow(_ROW + _BLOB)
         dealt = 0
 
         def deal(n):
@@ -230,6 +263,7 @@ def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int,
                 ids, known = every[0][a:b], every[1][a:b]
                 sets = Sets(data, ends, width)
                 n, (d1, d2) = sets.n, sets.digests()
+                yield _batch(schema, b - a, kind=np.zeros(b - a, np.int32), id=batch.column(0).slice(a, b - a), n=n, d1=d1, d2=d2, sketch=sets.sketches(), bucket=deal(b - a))
                 edges, parts = bands(num, den, int(n.max(initial=1)))
                 fresh, seen = np.zeros(len(n), dtype=bool), set()  # equal sets of a flush send their keys once
                 for i in np.flatnonzero(known & (n > 0)).tolist():
@@ -239,27 +273,23 @@ def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int,
                 own = np.searchsorted(edges, n, "right") - 1
                 reach = n * den // num
                 keys, entry, entries = [], [], []
-                slack = [[] if f else None for f in fresh.tolist()]
                 held, step = 0, 0
                 docs = np.flatnonzero(fresh)
                 while len(docs):
                     band = own[docs] + step
                     smax = n[docs] + np.minimum(edges[band + 1] - 1, reach[docs])
-                    k, at, weak, sent, room = sets.keys(docs, band, parts[band], smax, num, den)
+                    k, at, empty = sets.keys(docs, band, parts[band], smax, num, den)
                     keys.append(k)
                     entry.append(at + held)
-                    entries.append((ids[docs], n[docs], 2 * weak + sent, np.full(len(docs), step)))
-                    for i, r in zip(docs.tolist(), room.tolist(), strict=True):
-                        slack[i].append(r)
+                    entries.append((ids[docs], n[docs], empty, np.full(len(docs), step)))
                     held += len(docs)
                     step += 1
                     docs = docs[edges[own[docs] + step] <= reach[docs]]
-                yield _batch(schema, b - a, kind=np.zeros(b - a, np.int32), id=batch.column(0).slice(a, b - a), n=n, d1=d1, d2=d2, sketch=sets.sketches(), slack=slack, bucket=deal(b - a))
                 del sets
                 if not held:
                     continue
                 keys, entry = np.concatenate(keys), np.concatenate(entry)
-                ids, sizes, weak, steps = (np.concatenate(c) for c in zip(*entries, strict=True))
+                ids, sizes, empty, steps = (np.concatenate(c) for c in zip(*entries, strict=True))
                 bucket = (keys >> np.uint64(40)) % np.uint64(buckets)
                 keys = (bucket << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
                 rank = np.empty(held, dtype=np.int32)
@@ -273,23 +303,24 @@ def _signatures(source: DataFrame, width: int, num: int, den: int, buckets: int,
                     first = np.repeat(starts, runs)
                     mine = np.flatnonzero(hot & (first != np.arange(len(keys))))
                     x, y = entry[first[mine]], entry[mine]
-                    fit = (np.minimum(sizes[x], sizes[y]) * den >= np.maximum(sizes[x], sizes[y]) * num) & (ids[x] != ids[y])
-                    pairs = np.unique(np.sort(np.stack((ids[x[fit]], ids[y[fit]])), axis=0), axis=1)
-                    one = np.ones(pairs.shape[1], dtype=np.int64)
-                    yield _batch(schema, len(one), kind=4 * one, id=pairs[0], b=pairs[1], hits=one, need=one, bucket=deal(len(one)))
-                    yield _batch(schema, 1, kind=[3], bucket=deal(1), keys=[keys[mine].tobytes()], ids=[ids[entry[mine]].tobytes()], steps=[steps[entry[mine]].astype(np.uint8).tobytes()])
+                    low, high = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
+                    fit = (low * den >= high * num) & (ids[x] != ids[y])
+                    tally = Tally(0)
+                    tally.add(np.minimum(ids[x], ids[y])[fit], np.maximum(ids[x], ids[y])[fit], common_keys(edges, parts, low[fit], high[fit], empty[x[fit]], empty[y[fit]], num, den))
+                    yield _batch(schema, 1, kind=[2], bucket=deal(1), **dict(zip(("ids", "keys", "sizes", "empty"), ([c.tobytes()] for c in tally.parts[0]), strict=True)))
+                    yield _batch(schema, 1, kind=[3], bucket=deal(1), keys=[keys[mine].tobytes()], ids=[ids[entry[mine]].tobytes()], sizes=[sizes[entry[mine]].astype(np.int32).tobytes()], empty=[empty[entry[mine]].astype(np.uint32).tobytes()], steps=[steps[entry[mine]].astype(np.uint8).tobytes()])
                     stay = ~hot | (first == np.arange(len(keys)))
                     keys, entry, hot = keys[stay], entry[stay], hot[stay]
                 bucket = (keys >> np.uint64(32)).astype(np.int64)
-                found = np.unique(bucket)
+                found, starts = np.unique(bucket, return_index=True)
                 rows = []
-                for x, s, e in zip(found.tolist(), np.searchsorted(bucket, found).tolist(), np.searchsorted(bucket, found, "right").tolist(), strict=True):
+                for x, s, e in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
                     used, at = np.unique(entry[s:e], return_inverse=True)
-                    rows.append((x, keys[s:e].astype(np.uint32).tobytes(), at.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes(), np.packbits(hot[s:e]).tobytes(), ids[used].tobytes(), sizes[used].astype(np.int32).tobytes(), weak[used].astype(np.uint32).tobytes(), steps[used].astype(np.uint8).tobytes()))
-                columns = dict(zip(("bucket", "keys", "entry", "hot", "ids", "sizes", "weak", "steps"), map(list, zip(*rows, strict=True)), strict=True))
+                    rows.append((x, keys[s:e].astype(np.uint32).tobytes(), at.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes(), np.packbits(hot[s:e]).tobytes(), ids[used].tobytes(), sizes[used].astype(np.int32).tobytes(), empty[used].astype(np.uint32).tobytes(), steps[used].astype(np.uint8).tobytes()))
+                columns = dict(zip(("bucket", "keys", "entry", "hot", "ids", "sizes", "empty", "steps"), map(list, zip(*rows, strict=True)), strict=True))
                 yield _batch(schema, len(rows), kind=np.ones(len(rows), np.int32), **columns)
 
-    return source.mapInArrow(run, _OUT + _PIECE)
+    return source.mapInArrow(run, _ROW + _BLOB)
 
 
 class Pieces:
@@ -299,12 +330,12 @@ class Pieces:
         self.limits = limits
         self.held, self.tables, self.count, self.entries = [], [], 0, 0
 
-    def add(self, keys, entry, hot, ids, sizes, weak, steps):
+    def add(self, keys, entry, hot, ids, sizes, empty, steps):
         import numpy as np
 
         keys = np.frombuffer(keys, dtype=np.uint32)
         self.held.append((keys, np.frombuffer(entry, dtype=np.uint16 if len(entry) == 2 * len(keys) else np.uint32), np.frombuffer(hot, dtype=np.uint8), self.entries))
-        self.tables.append((np.frombuffer(ids, dtype=np.int64), np.frombuffer(sizes, dtype=np.int32), np.frombuffer(weak, dtype=np.uint32), np.frombuffer(steps, dtype=np.uint8)))
+        self.tables.append((np.frombuffer(ids, dtype=np.int64), np.frombuffer(sizes, dtype=np.int32), np.frombuffer(empty, dtype=np.uint32), np.frombuffer(steps, dtype=np.uint8)))
         self.count += len(keys)
         self.entries += len(self.tables[-1][0])
 
@@ -331,10 +362,10 @@ class Tally:
     def __init__(self, most: int):
         self.parts, self.held, self.most = [], 0, most
 
-    def add(self, a, b, need):
+    def add(self, a, b, need, hits=None):
         import numpy as np
 
-        self.parts.append((a, b, np.ones(len(a), dtype=np.int64), need))
+        self.parts.append((a, b, np.ones(len(a), dtype=np.int64) if hits is None else hits, need))
         self.held += len(a)
         if self.held > self.most:
             self.sum()
@@ -350,37 +381,24 @@ class Tally:
             a, b, hits, need = a[starts], b[starts], np.add.reduceat(hits[order], starts), np.minimum.reduceat(need[order], starts)
         self.parts, self.held = [(a, b, hits, need)], len(a)
 
-    def taken(self, least: int):
-        """Batches of what is held, if that is more than ``least``."""
+    def taken(self, least: int, buckets: int):
+        """What is held, if that is more than ``least``, by a bucket of the first id."""
         import numpy as np
 
         if self.parts and self.held > least:
             self.sum()
-            (columns,) = self.parts
+            a, b, hits, need = self.parts[0]
             self.parts, self.held = [], 0
-            for at in range(0, len(columns[0]), 100_000):
-                a, b, hits, need = (c[at : at + 100_000] for c in columns)
-                yield _batch(_arrow(_OUT), len(a), kind=np.full(len(a), 4, np.int32), id=a, b=b, hits=hits, need=need)
-
+            yield from _packed(4, a, buckets, ids=a, keys=b, sizes=hits.astype(np.int32), empty=need.astype(np.int32))
 
-def _noted(ids, keys, steps):
-    """Rows of frequent keys."""
-    import numpy as np
 
-    for at in range(0, len(ids), 100_000):
-        k = slice(at, at + 100_000)
-        n = len(ids[k])
-        yield _batch(_arrow(_OUT), n, kind=np.full(n, 5, np.int32), id=ids[k], key=keys[k].view(np.int64), step=steps[k].astype(np.int32))
-
-
-def _grouped(pieces: Pieces, bucket: int, num: int, den: int):
+def _grouped(pieces: Pieces, bucket: int, num: int, den: int, tally: Tally, buckets: int):
     """Pairs and rows of frequent keys of one bucket."""
     import numpy as np
 
-    limits = pieces.limits
-    tally, edges, parts = Tally(4 * limits.slice_keys), None, None
+    limits, edges, parts = pieces.limits, None, None
     for keys, entry, hot in pieces.slices():
-        ids, sizes, weak, steps = pieces.tables
+        ids, sizes, empty, steps = pieces.tables
         if edges is None:
             edges, parts = bands(num, den, int(sizes.max()))
         order = np.argsort(keys, kind="stable")
@@ -409,48 +427,102 @@ def _grouped(pieces: Pieces, bucket: int, num: int, den: int):
             left = np.flatnonzero(~large & member & (place + step < length))
             a.append(left)
             b.append(left + step)
-        stars = len(a[0])
         x, y = entry[np.concatenate(a)], entry[np.concatenate(b)]
         low, high = np.minimum(sizes[x], sizes[y]).astype(np.int64), np.maximum(sizes[x], sizes[y]).astype(np.int64)
-        least = parts[np.searchsorted(edges, high, "right") - 1] - max_difference(low + high, num, den)
-        least -= np.where((weak[x] & weak[y] & 1) == 1, 0, np.minimum(weak[x], weak[y]).astype(np.int64) >> 1)
-        least = np.maximum(1, (least + 1) // 2)
-        least[:stars] = 1
         fit = (low * den >= high * num) & (ids[x] != ids[y])
-        x, y, least = ids[x[fit]], ids[y[fit]], least[fit]
-        tally.add(np.minimum(x, y), np.maximum(x, y), least)
-        yield from tally.taken(2 * limits.slice_keys)
-        yield from _noted(ids[entry[large]], keys[large].astype(np.uint64) | np.uint64(bucket << 32), steps[entry[large]])
-    yield from tally.taken(0)
+        x, y, low, high = x[fit], y[fit], low[fit], high[fit]
+        tally.add(np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), common_keys(edges, parts, low, high, empty[x], empty[y], num, den))
+        yield from tally.taken(2 * limits.slice_keys, buckets)
+        x = entry[large]
+        yield from _packed(5, ids[x], buckets, ids=ids[x], keys=keys[large].astype(np.uint64) | np.uint64(bucket << 32), sizes=sizes[x], empty=empty[x], steps=steps[x])
+
+
+#: Kinds of numbers in blobs.
+_KINDS = {"ids": "<i8", "keys": "<u8", "sizes": "<i4", "empty": "<u4", "steps": "u1"}
+
+
+def _read(batch, names):
+    """Arrays of the blobs of a batch, row by row."""
+    import numpy as np
+
+    for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+        yield [np.frombuffer(x, dtype=_KINDS[c]) for c, x in zip(names, row, strict=True)]
+
+
+def _of_kind(batch, *kinds):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return batch.filter(pc.is_in(batch.column("kind"), pa.array(kinds, pa.int32())))
 
 
 def _candidates(signed: DataFrame, num: int, den: int, buckets: int, limits: Limits) -> DataFrame:
-    """Rows of kind 0 and 4 as they are, pairs (id, b) with common keys (4), and rows (id, key, step) of frequent keys (5).
+    """Rows of kind 0 as they are, pairs with common keys (4), and rows of frequent keys (5), by a bucket of the id.
 
-    A partition holds whole keys. They are written once, by the shuffle, and kept as they came; only a slice of the
-    key range is unpacked at a time.
+    A partition holds whole keys. They are kept as they came; only a slice of the key range is unpacked at a time.
     """
 
     def run(batches):
         import numpy as np
-        import pyarrow.compute as pc
 
-        names, held = _arrow(_OUT).names, {}
+        held, tally = {}, Tally(4 * limits.slice_keys)
         for batch in batches:
-            kinds = batch.column("kind")
-            plain = batch.filter(pc.or_(pc.equal(kinds, 0), pc.equal(kinds, 4))).select(names)
-            if plain.num_rows:
+            if (plain := _of_kind(batch, 0)).num_rows:
                 yield plain
-            local = batch.filter(pc.equal(kinds, 3))
-            for keys, ids, steps in zip(*(local.column(c).to_pylist() for c in ("keys", "ids", "steps")), strict=True):
-                yield from _noted(np.frombuffer(ids, dtype=np.int64), np.frombuffer(keys, dtype=np.uint64), np.frombuffer(steps, dtype=np.uint8))
-            blobs = batch.filter(pc.equal(kinds, 1))
-            for bucket, *blob in zip(*(blobs.column(c).to_pylist() for c in ("bucket", "keys", "entry", "hot", "ids", "sizes", "weak", "steps")), strict=True):
+            for a, b, hits, need in zip(*([np.frombuffer(x, dtype=np.int64) for x in _of_kind(batch, 2).column(c).to_pylist()] for c in ("ids", "keys", "sizes", "empty")), strict=True):
+                tally.add(a, b, need, hits)
+            for ids, keys, sizes, empty, steps in _read(_of_kind(batch, 3), list(_KINDS)):
+                yield from _packed(5, ids, buckets, ids=ids, keys=keys, sizes=sizes, empty=empty, steps=steps)
+            blobs = _of_kind(batch, 1)
+            for bucket, *blob in zip(*(blobs.column(c).to_pylist() for c in ("bucket", "keys", "entry", "hot", "ids", "sizes", "empty", "steps")), strict=True):
                 held.setdefault(bucket, Pieces(limits)).add(*blob)
         for bucket in list(held):
-            yield from _grouped(held.pop(bucket), bucket, num, den)
+            yield from _grouped(held.pop(bucket), bucket, num, den, tally, buckets)
+        yield from tally.taken(0, buckets)
+
+    return signed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, _ROW + _BLOB)
+
+
+def _settled(found: DataFrame, num: int, den: int, buckets: int, limits: Limits) -> DataFrame:
+    """Kind 0: the documents. Kind 4: pairs (id, b) with as many common keys as a linked pair has. Kind 5: rows (id, key) of
+    documents with more frequent keys in a band than their slack there; an id whose rows differ is counted over
+    all of them, which only adds rows. A partition holds all of an id."""
+
+    def run(batches):
+        import numpy as np
+
+        schema, tally, hot = _arrow(_OUT), Tally(8 * limits.slice_keys), []
 
-    return signed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, _OUT)
+        def rows(kind, **columns):
+            for at in range(0, len(columns["id"]), 100_000):
+                some = {c: v[at : at + 100_000] for c, v in columns.items()}
+                yield _batch(schema, len(some["id"]), kind=np.full(len(some["id"]), kind, np.int32), **some)
+
+        for batch in batches:
+            if (plain := _of_kind(batch, 0)).num_rows:
+                yield _batch(schema, plain.num_rows, **{c: plain.column(c) for c in _arrow(_ROW).names})
+            for a, b, hits, need in _read(_of_kind(batch, 4), ["ids", "keys", "sizes", "empty"]):
+                tally.add(a, b.view(np.int64), need.astype(np.int64), hits.astype(np.int64))
+            hot += _read(_of_kind(batch, 5), list(_KINDS))
+        if tally.parts:
+            tally.sum()
+            a, b, hits, need = tally.parts[0]
+            enough = hits >= need
+            yield from rows(4, id=a[enough], b=b[enough])
+        if hot:
+            ids, keys, sizes, empty, steps = (np.concatenate(c) for c in zip(*hot, strict=True))
+            hot.clear()
+            edges, parts = bands(num, den, int(sizes.max()))
+            order = np.lexsort((keys, steps, ids))
+            ids, keys, sizes, empty, steps = ids[order], keys[order], sizes[order], empty[order], steps[order].astype(np.int64)
+            starts = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (steps[1:] != steps[:-1]))))
+            runs = np.diff(np.append(starts, len(ids)))
+            over = np.logical_or.reduceat(np.repeat(runs, runs) > slack(edges, parts, sizes.astype(np.int64), empty, steps, num, den), starts)
+            over = np.repeat(over, runs)
+            over[1:] &= (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
+            yield from rows(5, id=ids[over], key=keys[over].view(np.int64))
+
+    return found.repartitionById(buckets, F.col("bucket")).mapInArrow(run, _OUT)
 
 
 def _shingle_sets(source: DataFrame, ids: DataFrame, width: int, limits: Limits) -> DataFrame:
@@ -496,17 +568,6 @@ def _near(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
     return both.where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def _unsafe(hot: DataFrame, info: DataFrame) -> DataFrame:
-    """The rows (id, key) of documents with more frequent keys in the key's band than their slack there.
-
-    The rows of one document and band are counted; a document has as many as it has parts at most. An id whose
-    rows differ is counted over all of them, which only adds rows.
-    """
-    slack = info.where("slack is not null").select("id", "slack")
-    many = hot.groupBy("id", "step").agg(F.count("*").alias("c")).join(slack, "id").where("c > coalesce(get(slack, step), 0)").select("id", "step").distinct()
-    return hot.join(many, ["id", "step"]).select("id", "key").distinct()
-
-
 def _across(unsafe: DataFrame, info: DataFrame, comps: DataFrame, num: int, den: int, limits: Limits, again: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of a frequent key in different components whose sizes and whole sketches allow a link.
 
@@ -517,7 +578,10 @@ def _across(unsafe: DataFrame, info: DataFrame, comps: DataFrame, num: int, den:
     known = unsafe.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     counted = known.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("id").alias("lead"))
     stats = counted.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("t"), F.sum("c").alias("g"), F.min("lead").alias("lead"), F.count("*").alias("k")).where("k > 1")
-    stats = stats.selectExpr("key", "lead", "t.comp as top", f"ceil(g / {limits.block}) as ms", f"ceil((g - t.c) / {limits.block}) as qs")
+    stats = stats.selectExpr("key", "lead", "g", "t.comp as top", f"ceil(g / {limits.block}) as ms", f"ceil((g - t.c) / {limits.block}) as qs")
+    # Keys of about the same documents share their first one; they go to one task, which meets their pairs once, or to a few.
+    shares = stats.groupBy("lead").agg(F.ceil(F.sum("g") / limits.lead_rows).alias("shares"))
+    stats = stats.join(shares, "lead").withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares"))).drop("g", "shares")
     rows = known.join(stats, "key").join(info.select("id", "n", "sketch"), "id")
     if again is None:
         rows = rows.withColumn("asks", F.col("comp") != F.col("top"))
@@ -527,7 +591,7 @@ def _across(unsafe: DataFrame, info: DataFrame, comps: DataFrame, num: int, den:
     stands = F.expr("transform(sequence(0L, qs - 1), q2 -> struct(m as am, q2 as aq))")
     asks = F.expr("if(asks, transform(sequence(0L, ms - 1), m2 -> struct(m2 as am, q as aq)), array())")
     dealt = rows.withColumn("at", F.explode(F.array_union(stands, asks)))
-    dealt = dealt.selectExpr("lead", "key", "at.am am", "at.aq aq", "id", "comp", "top", "n", "sketch", "at.am = m as stands", "asks and at.aq = q as asks")
+    dealt = dealt.selectExpr("lead", "share", "key", "at.am am", "at.aq aq", "id", "comp", "top", "n", "sketch", "at.am = m as stands", "asks and at.aq = q as asks")
     best = again is None
 
     def run(batches):
@@ -572,7 +636,7 @@ def _across(unsafe: DataFrame, info: DataFrame, comps: DataFrame, num: int, den:
                 lead, seen = here[0], set()
             fresh = [p for p in dict.fromkeys(joined(group)) if p not in seen]
             seen.update(fresh)
-            if len(seen) > 1_000_000:
+            if len(seen) > 100_000:
                 seen = set()
             for at in range(0, len(fresh), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*fresh[at : at + 100_000], strict=True)], names=["a", "b"])
@@ -587,8 +651,8 @@ def _across(unsafe: DataFrame, info: DataFrame, comps: DataFrame, num: int, den:
         if group:
             yield from flush()
 
-    # Keys of about the same documents share their first one: they go to one task, which meets their pairs once.
-    return dealt.repartition("lead", "am", "aq").sortWithinPartitions("lead", "am", "aq", "key").mapInArrow(run, "a long, b long").distinct()
+    order = ["lead", "share", "am", "aq"]
+    return dealt.repartition(*order).sortWithinPartitions(*order, "key").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, limits: Limits = Limits()) -> DataFrame:
@@ -603,18 +667,18 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    signed = cut(_candidates(_signatures(source, width, num, den, buckets, limits), num, den, buckets, limits))
-    info = signed.where("kind = 0").select("id", "n", "d1", "d2", "sketch", "slack")
+    keys = _signatures(source, width, num, den, buckets, limits)
+    signed = cut(_settled(_candidates(keys, num, den, buckets, limits), num, den, buckets, limits))
+    info = signed.where("kind = 0").select("id", "n", "d1", "d2", "sketch")
     filled = info.where("n > 0 and id is not null")
-    counted = signed.where("kind = 4").groupBy(F.col("id").alias("a"), "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need")
-    near = cut(_near(counted.select("a", "b"), filled, num, den))
+    near = cut(_near(signed.where("kind = 4").select(F.col("id").alias("a"), "b"), filled, num, den))
     # Equal sets: a star around the smallest id, from a combined aggregate.
     classes = filled.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1")
     copies = filled.join(classes, ["n", "d1", "d2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     linked = _verified(near, source, width, num, den, limits)
     comps = connected_components(copies.unionByName(linked))
     used = [near, linked]
-    unsafe = cut(_unsafe(signed.where("kind = 5").select("id", "key", "step"), filled))
+    unsafe = signed.where("kind = 5").select("id", "key")
     tried, again = None, None
     while not unsafe.isEmpty():
         more = _across(unsafe, filled, comps, num, den, limits, again)
@@ -635,6 +699,6 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             break
     out = info.join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
     out = cut(out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")))
-    for table in (signed, unsafe, *used):
+    for table in (signed, *used):
         forget(table)
     return out
