@@ -16,3 +16,14 @@ def code_points(units: list[int]) -> list[int]:
 
 def wtf8(points: list[int]) -> bytes:
     return "".join(map(chr, points)).encode("utf-8", "surrogatepass")
+
+
+def utf16_units(text: str) -> list[int]:
+    """The UTF-16 units of a text, lone surrogates included."""
+    data = text.encode("utf-16-be", "surrogatepass")
+    return [data[i] << 8 | data[i + 1] for i in range(0, len(data), 2)]
+
+
+def text_bytes(text: str) -> bytes:
+    """A text as WTF-8: UTF-8, with three bytes for a surrogate that has no partner."""
+    return wtf8(code_points(utf16_units(text)))

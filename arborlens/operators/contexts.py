@@ -32,6 +32,20 @@ def with_suffixes(nodes: DataFrame, max_len: int = 1) -> DataFrame:
     return d.withColumn("suffix", F.expr(f"concat_ws('.', concat(array(element_at(path, _at).iface), {keys}))")).drop("_d", "_anchors", "_at")
 
 
+def suffix_of(path: list[tuple], length: int) -> str | None:
+    """The suffix of one path (tuples as in ``path``), for paths that all documents share; None if it has too few nodes."""
+    anchors = [i for i, (_, _, _, _, node) in enumerate(path[:-1]) if node]
+    if len(anchors) < length:
+        return None
+    at = anchors[-length]
+    words = [path[at][3]]
+    for key, _, _, iface, node in path[at + 1 : -1]:
+        words.append((key or "*") + (f"/{iface}" if node else f"={iface}" if iface else ""))
+    key, i, n, _, _ = path[-1]
+    words.append(key if i is None else f"{i}-of-{n}" if n <= 4 else f"{i}-of-many" if i <= 4 else "*")
+    return ".".join(words)
+
+
 def longest_context(nodes: DataFrame, max_len: int = 2) -> DataFrame:
     """Of each location the row with its longest available suffix; the root has none."""
     rows = with_suffixes(nodes, max_len)

@@ -18,17 +18,22 @@ def count_symbols(rows: DataFrame, keys: list[str], symbol: list[str]) -> DataFr
 def count_by_doc_and_all(rows: DataFrame, doc: str, keys: list[str]) -> DataFrame:
     """Counts per document and of the whole corpus in one pass, by grouping sets; ``scope`` is doc or ALL."""
     k = ", ".join(keys)
-    rows.createOrReplaceTempView("_doc_and_all")
-    return rows.sparkSession.sql(
-        f"select if(grouping({doc}) = 1, 'ALL', 'doc') scope, {doc}, {k}, count(*) hits from _doc_and_all group by grouping sets (({doc}, {k}), ({k}))"
-    )
+    both = f"grouping sets (({doc}{', ' if k else ''}{k}), ({k}))"
+    return rows.sparkSession.sql(f"select if(grouping({doc}) = 1, 'ALL', 'doc') scope, {doc}{', ' if k else ''}{k}, count(*) hits from {{rows}} group by {both}", rows=rows)
+
+
+#: Rows of an alphabet up to which it is broadcast.
+ALPHABET_ROWS = 100_000
 
 
 def zero_filled(freq: DataFrame, alphabet: DataFrame, keys: list[str], symbol: str = "sym_index") -> DataFrame:
-    """All symbols of the alphabet for every key that occurs, zeros included. The alphabet is a small dimension: it has
-    a row per symbol of a declared type, and is joined to the distinct keys."""
+    """All symbols of the alphabet for every key that occurs, zeros included. An alphabet is a small dimension: a row
+    per symbol of a declared type. It is broadcast once its size is checked; a larger one is joined by a shuffle."""
     tables = freq.select(*keys).distinct()
-    full = tables.crossJoin(F.broadcast(alphabet)) if not set(keys) & set(alphabet.columns) else tables.join(alphabet, [k for k in keys if k in alphabet.columns])
+    on = [k for k in keys if k in alphabet.columns]
+    if alphabet.limit(ALPHABET_ROWS + 1).count() <= ALPHABET_ROWS:
+        alphabet = F.broadcast(alphabet)
+    full = tables.join(alphabet, on) if on else tables.crossJoin(alphabet)
     return full.join(freq, [*keys, symbol], "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
 
 
@@ -66,10 +71,11 @@ def symbol_cost(size: Column, total: Column) -> Column:
     return F.log2(total / F.greatest(size, F.lit(1)))
 
 
-def category_rollup(costs: DataFrame, levels: list[str]) -> DataFrame:
-    """Bits and symbols of every prefix of the label sym/level/level...: hierarchical sums in one pass."""
-    spark = costs.sparkSession
-    costs.createOrReplaceTempView("_costs")
-    k = ", ".join(levels)
-    label = "concat_ws('/', 'sym'" + "".join(f", if(grouping({c}) = 0, coalesce({c}, ''), null)" for c in levels) + ")"
-    return spark.sql(f"select {label} label, sum(bits) bits, count(*) symbols from _costs group by rollup({k})")
+def category_rollup(costs: DataFrame, levels: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Bits and symbols of every prefix of the label sym/level/level..., per ``keys``. A row's label ends at its first null
+    level; a row counts once for each of its prefixes."""
+    label = "array('sym'" + "".join(f", cast({c} as string)" for c in levels) + ")"
+    known = f"slice({label}, 1, coalesce(nullif(array_position(transform({label}, x -> x is null), true), 0) - 1, {len(levels) + 1}))"
+    rows = costs.select(*keys, "bits", F.expr(known).alias("_l"))
+    prefixes = F.expr("transform(sequence(1, size(_l)), i -> array_join(slice(_l, 1, i), '/'))")
+    return rows.select(*keys, "bits", F.explode(prefixes).alias("label")).groupBy(*keys, "label").agg(F.sum("bits").alias("bits"), F.count("*").alias("symbols"))

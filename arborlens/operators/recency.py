@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from arborlens.operators.ordering import global_index
 
 MAX_WINDOW, DEFAULT_WINDOW = 4096, 64
 
@@ -77,27 +78,25 @@ def token_ranks(df: DataFrame, doc: str, text: str, limit: int = DEFAULT_WINDOW)
 def window_histograms(dists: DataFrame, sizes: list[int], keys: list[str] | None = None, compat: bool = False) -> DataFrame:
     """Zero-filled counts of ranks per window size, with rows MISSES, HITS and TOTAL and their share of TOTAL.
 
-    ``compat`` counts the first hit of a rank twice, as one published implementation does.
+    Counts are gathered into one row per key and size (W + 1 numbers at most) before ranks are filled up, so
+    keys are never broadcast. ``compat`` counts the first hit of a rank twice, as one known program does.
     """
     keys = keys or []
-    spark = dists.sparkSession
     base = dists.groupBy(*keys, "dist").agg(F.count("*").alias("hits"))
     w = base.withColumn("window_size", F.explode(F.array(*map(F.lit, sizes))))
     w = w.withColumn("rank", F.when((F.col("dist") < 0) | (F.col("dist") >= F.col("window_size")), -1).otherwise(F.col("dist")))
-    w = w.groupBy(*keys, "window_size", "rank").agg(F.sum("hits").alias("hits"))
-    if compat:
-        w = w.withColumn("hits", F.col("hits") + 1)
-    full = spark.range(1).select(F.explode(F.array(*map(F.lit, sizes))).alias("window_size")).select("window_size", F.explode(F.sequence(F.lit(-1), F.col("window_size") - 1)).alias("rank"))
-    if keys:
-        full = full.crossJoin(F.broadcast(base.select(*keys).distinct()))
-    w = full.join(w, [*keys, "window_size", "rank"], "left").withColumn("count", F.coalesce("hits", F.lit(0).cast("long"))).drop("hits")
-    sums = w.groupBy(*keys, "window_size").agg(F.sum(F.when(F.col("rank") >= 0, F.col("count")).otherwise(0)).alias("h"), F.sum("count").alias("t"))
-    named = w.select(*keys, "window_size", F.when(F.col("rank") >= 0, F.col("rank").cast("string")).otherwise("MISSES").alias("index"), "count")
-    extra = sums.select(*keys, "window_size", F.explode(F.array(F.struct(F.lit("HITS").alias("index"), F.col("h").alias("count")), F.struct(F.lit("TOTAL").alias("index"), F.col("t").alias("count")))).alias("x")).select(*keys, "window_size", "x.index", "x.count")
-    return named.unionByName(extra).join(sums.select(*keys, "window_size", "t"), [*keys, "window_size"]).withColumn("prob", F.col("count") / F.col("t")).drop("t")
+    w = w.groupBy(*keys, "window_size", "rank").agg((F.sum("hits") + (1 if compat else 0)).alias("hits"))
+    w = w.groupBy(*keys, "window_size").agg(F.map_from_entries(F.collect_list(F.struct("rank", "hits"))).alias("_m"), F.sum("hits").alias("_t"), F.sum(F.when(F.col("rank") >= 0, F.col("hits")).otherwise(0)).alias("_h"))
+    if not keys:  # sizes without any row
+        w = dists.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, sizes))).alias("window_size")).join(w, "window_size", "left")
+        w = w.withColumns({"_t": F.coalesce("_t", F.lit(0)), "_h": F.coalesce("_h", F.lit(0)), "_m": F.coalesce("_m", F.expr("cast(map() as map<int, bigint>)"))})
+    filled = "transform(sequence(0, window_size - 1), r -> struct(cast(r as string) as index, coalesce(_m[r], 0L) as count))"
+    ends = "array(struct('MISSES' as index, coalesce(_m[-1], 0L) as count), struct('HITS' as index, _h as count), struct('TOTAL' as index, _t as count))"
+    rows = w.select(*keys, "window_size", "_t", F.expr(f"explode(concat({filled}, {ends}))").alias("x"))
+    return rows.select(*keys, "window_size", "x.index", "x.count", F.expr("x.count / nullif(_t, 0)").alias("prob"))
 
 
 def first_seen(df: DataFrame, value: str, order: list[str]) -> DataFrame:
     """Distinct values with the rank of their first appearance. Positions are compared as structs: no global sort of rows."""
     first = df.groupBy(value).agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("n"))
-    return first.withColumn("idx", F.row_number().over(Window.orderBy("first", value)) - 1)
+    return global_index(first, ["first", value])

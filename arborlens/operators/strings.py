@@ -10,9 +10,14 @@ from arborlens.functions.symbols import string_header_bytes, varuint_bits
 DICTIONARY_SIZE = 4096
 
 
+def kind_counts(kind: str) -> list:
+    """Counts of identifiers, properties and strings."""
+    return [F.count_if(F.col(kind) == k).alias(f"{k}_count") for k in ("ident", "prop", "raw")]
+
+
 def global_counts(refs: DataFrame, value: str = "value", kind: str = "kind") -> DataFrame:
     """Per string: ident_count, prop_count, raw_count, total_count. Combined map-side before the shuffle."""
-    c = [F.count_if(F.col(kind) == k).alias(f"{n}_count") for k, n in (("ident", "ident"), ("prop", "prop"), ("raw", "raw"))]
+    c = kind_counts(kind)
     return refs.groupBy(value).agg(*c, F.count("*").alias("total_count"))
 
 

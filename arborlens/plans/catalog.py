@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from arborlens.functions import symbols as S
-from arborlens.operators import contexts, frequencies, range_coder, recency, strings
+from arborlens.operators import coding, contexts, frequencies, range_coder, recency, scopes, strings
+from arborlens.operators.ordering import global_index
+from arborlens.plans import analyses
+from arborlens.schema import views
 from arborlens.sources import tables as T
-from arborlens.sources import trees
+from arborlens.sources import store, trees
 
 _Q: dict = {}
 _O: dict[str, str] = {}
@@ -53,8 +55,7 @@ SHALLOW = _symbol_sql("Order", "LineItem", "o_orderkey", "l_orderkey", "lineitem
 
 
 def _freq(spark, sf_dir, n: int, deep: bool) -> DataFrame:
-    rows = contexts.symbols(contexts.with_suffixes(T.order_nodes(spark, sf_dir, deep), n)).where(F.col("suffix_len") == n)
-    return frequencies.count_symbols(rows, ["suffix", "tag"], ["sym_index", "sym_name"])
+    return frequencies.count_symbols(T.order_symbols(spark, sf_dir, [n], deep), ["suffix", "tag"], ["sym_index", "sym_name"])
 
 
 _REPORT = """SELECT split_part(t, '#', 1) AS suffix, split_part(t, '#', 2) AS tag, sym, CAST(count(*) AS BIGINT) AS hits, CAST(sum(count(*)) OVER (PARTITION BY t) AS BIGINT) AS total_hits,
@@ -83,7 +84,7 @@ def path_suffix_len3(spark, sf_dir):
 
 @query(f"WITH {SHALLOW} SELECT CASE WHEN grouping(doc_id) = 1 THEN 'ALL' ELSE 'doc' END AS scope, doc_id, split_part(t, '#', 1) AS suffix, split_part(t, '#', 2) AS tag, sym AS sym_name, CAST(count(*) AS BIGINT) AS hits FROM s GROUP BY GROUPING SETS ((doc_id, t, sym), (t, sym))")
 def path_suffix_per_doc(spark, sf_dir):
-    rows = contexts.symbols(contexts.with_suffixes(T.order_nodes(spark, sf_dir), 1))
+    rows = T.order_symbols(spark, sf_dir, [1])
     return frequencies.count_by_doc_and_all(rows, "doc_id", ["suffix", "tag", "sym_name"])
 
 
@@ -142,9 +143,9 @@ def ranked_report(spark, sf_dir):
 
 @query(f"WITH {_symbol_sql('Customer.orders.*/Order', 'Order.lines.*/LineItem', 'o_custkey', 'o_custkey', 'lineitem JOIN orders ON l_orderkey = o_orderkey')}, u AS (SELECT t, count(*) AS h FROM s GROUP BY 1 UNION ALL SELECT 'Customer.orders.*/Order.lines.*/LineItem' || substr(t, length('Order.lines.*/LineItem') + 1), count(*) FROM s WHERE t LIKE 'Order.lines%' GROUP BY 1 UNION ALL SELECT replace(t, 'Customer.orders.*/', ''), count(*) FROM s WHERE t LIKE 'Customer%' GROUP BY 1 UNION ALL SELECT replace(t, 'Order.lines.*/', ''), count(*) FROM s WHERE t LIKE 'Order.lines%' GROUP BY 1), x AS (SELECT split_part(t, '#', 1) AS suffix, split_part(t, '#', 2) AS tag, CAST(h AS BIGINT) AS hits, CAST(length(t) - length(replace(t, '/', '')) AS INT) AS slashes FROM u) SELECT *, CAST(row_number() OVER (ORDER BY slashes DESC, hits DESC, suffix, tag) AS INT) AS place FROM x")
 def suffix_specificity_order(spark, sf_dir):
-    rows = contexts.symbols(contexts.with_suffixes(T.order_nodes(spark, sf_dir, True), 3))
+    rows = T.order_symbols(spark, sf_dir, [1, 2, 3], True)
     t = frequencies.by_specificity(rows.groupBy("suffix", "tag").agg(F.count("*").alias("hits")))
-    return t.withColumn("place", F.row_number().over(Window.orderBy(F.desc("slashes"), F.desc("hits"), "suffix", "tag")))
+    return global_index(t, [F.desc("slashes"), F.desc("hits"), "suffix", "tag"], "place").withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 @query("SELECT 'LineItem.linestatus' AS suffix, CAST(count(*) AS BIGINT) AS hits FROM lineitem")
@@ -215,7 +216,7 @@ def global_string_counts(spark, sf_dir):
 
 @query("WITH f AS (SELECT event_type, min((ts, event_id)) AS p, count(*) AS n FROM events GROUP BY 1) SELECT event_type, CAST(n AS BIGINT) AS n, CAST(row_number() OVER (ORDER BY p, event_type) - 1 AS INT) AS idx FROM f")
 def first_seen_index(spark, sf_dir):
-    return recency.first_seen(T.table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"]).select("event_type", "n", "idx")
+    return recency.first_seen(T.table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"]).select("event_type", "n", F.col("idx").cast("int").alias("idx"))
 
 
 _WORDS = "w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS value FROM documents), g AS (SELECT value, count(*) AS total_count FROM w GROUP BY 1), top AS (SELECT *, row_number() OVER (ORDER BY total_count DESC, value) - 1 AS id FROM g ORDER BY total_count DESC, value LIMIT 4096)"
@@ -259,10 +260,9 @@ _COST = f"""h AS (SELECT o_orderpriority AS k, CAST(list_position(['F', 'O', 'P'
 
 
 def _costs(spark, sf_dir):
-    model = F.broadcast(_table_of(_priority_hits(spark, sf_dir), "o_orderpriority").select("key", "sym_index", "size", "offset", "total"))  # a row per symbol of two enums
-    o = T.table(spark, sf_dir, "orders").withColumn("sym_index", S.enum_index(F.col("o_orderstatus"), T.STATUS))
-    rows = o.join(model, (o["o_orderpriority"] == model["key"]) & (o["sym_index"] == model["sym_index"])).select(o["*"], "size", "offset", "total")
-    return rows.withColumn("bits", frequencies.symbol_cost(F.col("size"), F.col("total")))
+    model = F.broadcast(_table_of(_priority_hits(spark, sf_dir), "o_orderpriority").select(F.col("key").alias("model"), "sym_index", "size", "offset", "total", "allow_escape"))  # a row per symbol of two enums
+    o = T.table(spark, sf_dir, "orders").withColumn("sym_index", S.enum_index(F.col("o_orderstatus"), T.STATUS)).withColumns({"model": F.col("o_orderpriority"), "bits": F.lit(None).cast("double"), "raw": F.lit(None).cast("binary")})
+    return coding.costs(o, model)
 
 
 @query(f"WITH {_COST} SELECT o_orderkey, round(log2(m.total / m.size), 6) AS bits FROM orders JOIN m ON m.key = o_orderpriority AND m.sym_index = list_position(['F', 'O', 'P'], o_orderstatus) - 1")
@@ -299,10 +299,11 @@ def longest_context(spark, sf_dir):
     return contexts.longest_context(nodes, 2).groupBy("suffix", "suffix_len").agg(F.count("*").alias("hits"))
 
 
-@query("SELECT doc_id, source || '.json' AS result_path, n_chars FROM documents WHERE regexp_matches(source, '^[-_a-zA-Z0-9./]*$') AND n_chars >= 1000")
-def corpus_filter(spark, sf_dir):
-    d = T.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return d.where((F.col("n_chars") >= 1000) & F.col("source").rlike("^[-_a-zA-Z0-9./]*$")).select("doc_id", F.concat("source", F.lit(".json")).alias("result_path"), "n_chars")
+@query(r"SELECT doc_id, regexp_replace(source || '.js', '\.js$', '.json') AS result_path, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE regexp_matches(source, '^[-_a-zA-Z0-9./]*$') AND NOT list_has_any(string_split(source || '.js', '/'), ['', '.', '..', 'WRITABLE']) AND strlen(text) >= 1000")
+def corpus_filter(spark, sf_dir, least_size: int = 1000):
+    d = T.table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(".js")).alias("path"), F.octet_length("text").cast("long").alias("size"))
+    kept = d.where((F.col("size") >= least_size) & store.valid_subpath_column(F.col("path")) & F.col("path").endswith(".js"))
+    return kept.select("doc_id", store.result_path(F.col("path"), ".json").alias("result_path"), "size")
 
 
 @query("""SELECT event_id, 0 AS seq, 0 AS depth, '$Root' AS key_name, 'object' AS type_name, NULL AS value FROM events UNION ALL
@@ -354,12 +355,12 @@ def range_roundtrip(spark, sf_dir):
         for batch in batches:
             same = []
             for data, steps in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                d, ok = range_coder.Decoder(data), True
+                d, ok = range_coder.Reader(data), True
                 for step in steps:
                     size, offset, total = step.values()
-                    at = d.cum_freq(total)
+                    at = d.find(total)
                     ok = ok and offset <= at < offset + size
-                    d.update(size, offset, total)
+                    d.accept(size, offset, total)
                 same.append(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], names=["o_custkey", "n_symbols", "same"])
 
@@ -369,13 +370,132 @@ def range_roundtrip(spark, sf_dir):
 
 @query()
 def gzip_ratio(spark, sf_dir):
-    def run(batches):
-        import gzip
+    sizes = store.compressed_sizes(T.table(spark, sf_dir, "documents"), "doc_id", "text")
+    return sizes.select("doc_id", F.col("size").alias("n_bytes"), "gzip_bytes")
 
-        import pyarrow as pa
 
-        for batch in batches:
-            texts = [(t.as_py() or "").encode() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([len(gzip.compress(t, mtime=0)) for t in texts], pa.int64())], names=["doc_id", "n_bytes", "gzip_bytes"])
+# Typed trees
+
+
+def _lengths_sql() -> str:
+    both = ("o_custkey", "o_custkey", "lineitem JOIN orders ON l_orderkey = o_orderkey")
+    parts = [(1, _symbol_sql("Order", "LineItem", *both), ""), (2, _symbol_sql("Customer.orders.*/Order", "Order.lines.*/LineItem", *both), ""), (3, _symbol_sql("X", "Customer.orders.*/Order.lines.*/LineItem", *both), " WHERE t LIKE 'Customer%'")]
+    rows = " UNION ALL ".join(f"SELECT * FROM (WITH {s} SELECT {n} AS suffix_len, t, sym FROM s{w})" for n, s, w in parts)
+    return f"SELECT CAST(suffix_len AS INT) AS suffix_len, split_part(t, '#', 1) AS suffix, split_part(t, '#', 2) AS tag, sym AS sym_name, CAST(count(*) AS BIGINT) AS hits FROM ({rows}) GROUP BY ALL"
+
+
+@query(_lengths_sql())
+def path_suffix_lengths(spark, sf_dir):
+    rows = T.order_symbols(spark, sf_dir, [1, 2, 3], True)
+    return rows.groupBy("suffix_len", "suffix", "tag", "sym_name").agg(F.count("*").alias("hits"))
+
+
+_EVENT_TABLES = """b AS (SELECT 'Event.value' AS suffix, 'type' AS tag, CASE WHEN value IS NULL THEN 'null' ELSE 'f64' END AS sym FROM events UNION ALL
+  SELECT 'Event.props', 'type', CASE WHEN props IS NULL THEN 'null' ELSE 'str' END FROM events UNION ALL SELECT 'Event.type', 'EventType', event_type FROM events),
+a(suffix, tag, i, sym) AS (VALUES ('Event.value', 'type', 0, 'null'), ('Event.value', 'type', 1, 'f64'), ('Event.props', 'type', 0, 'null'), ('Event.props', 'type', 1, 'str'),
+  ('Event.type', 'EventType', 0, 'Click'), ('Event.type', 'EventType', 1, 'Error'), ('Event.type', 'EventType', 2, 'Purchase'), ('Event.type', 'EventType', 3, 'Signup'), ('Event.type', 'EventType', 4, 'View')),
+f AS (SELECT a.suffix, a.tag, a.i, a.sym, count(b.sym) AS h FROM a LEFT JOIN b ON a.suffix = b.suffix AND a.tag = b.tag AND lower(a.sym) = lower(b.sym) GROUP BY ALL)"""
+
+
+@query(f"WITH {_EVENT_TABLES} SELECT suffix, tag, CAST(i AS INT) AS sym_index, sym AS sym_name, CAST(h AS BIGINT) AS hits, CAST(sum(h) OVER (PARTITION BY suffix, tag) AS BIGINT) AS total_hits, (SELECT CAST(4 * count(*) AS BIGINT) FROM events) AS total_symbols FROM f")
+def typed_path_suffix(spark, sf_dir):
+    """Type and value tables of event trees, zeros included, with the number of all locations."""
+    freq = analyses.path_suffix(T.event_trees(spark, sf_dir), T.table_schema(), 1, "event_id").where("scope = 'ALL'")
+    return freq.select("suffix", "tag", "sym_index", "sym_name", "hits", "total_hits", "total_symbols")
+
+
+@query("""SELECT 'Event' AS bound, 'Iface<Event>' AS type_name, CAST(0 AS INT) AS type_index, CAST(1 AS INT) AS type_set_size, CAST(count(*) AS BIGINT) AS n FROM events UNION ALL
+SELECT 'EventType', 'Enum<EventType>', 0, 1, count(*) FROM events UNION ALL
+SELECT 'Union<null | f64>', CASE WHEN value IS NULL THEN 'null' ELSE 'f64' END, CASE WHEN value IS NULL THEN 0 ELSE 1 END, 2, count(*) FROM events GROUP BY 2, 3 UNION ALL
+SELECT 'Union<null | str>', CASE WHEN props IS NULL THEN 'null' ELSE 'str' END, CASE WHEN props IS NULL THEN 0 ELSE 1 END, 2, count(*) FROM events GROUP BY 2, 3""")
+def resolve_type(spark, sf_dir):
+    """The member of its declared type that every value has."""
+    n = T.event_trees(spark, sf_dir).groupBy("bound", "type_name", "type_index", "type_set_size").agg(F.count("*").alias("n"))
+    return n.withColumn("bound", F.regexp_replace("bound", "^Iface<(.*)>$", "$1"))
 
-    return T.table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, gzip_bytes long")
+
+@query("""SELECT event_id, '$Root: Iface<Event> = {' || chr(10) || '    @ iface(Event)' || chr(10) || chr(10)
+  || '    type: EventType = {' || chr(10) || '        @ enum(EventType)' || chr(10) || '    ' || chr(10) || '        value = EventType_' || upper(event_type[1]) || event_type[2:] || chr(10) || '    }' || chr(10)
+  || '    value: Union<null | f64> = {' || chr(10) || '        @ ' || CASE WHEN value IS NULL THEN 'null' ELSE 'f64' END || chr(10) || '    ' || chr(10) || '        value = ' AS head,
+  '    props: Union<null | str> = {' || chr(10) || '        @ ' || CASE WHEN props IS NULL THEN 'null' ELSE 'str' END || chr(10) || '    ' || chr(10) || '        value = ' || coalesce(props, 'null') || chr(10) || '    }' || chr(10) || '}' || chr(10) AS tail FROM events""")
+def pretty_print_trees(spark, sf_dir):
+    """Printed event trees, before and after the number, whose text differs between engines."""
+    p = analyses.pretty_print(T.event_trees(spark, sf_dir), "event_id")
+    head = F.regexp_extract("text", r"(?s)^(.*?    value: Union<null [|] f64> = \{\n        @ \w+\n    \n        value = )", 1)
+    return p.select("event_id", head.alias("head"), F.regexp_extract("text", r"(?s)(    props: Union<null [|] str> = \{.*)$", 1).alias("tail"))
+
+
+_TURNS = "t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, role, text FROM conversations), r AS (SELECT conv_id, 3 * i AS pos, 'ident' AS kind, role AS str FROM t WHERE role IS NOT NULL UNION ALL SELECT conv_id, 3 * i + 1, 'raw', text FROM t WHERE text IS NOT NULL)"
+
+
+@query(f"""WITH {_TURNS}, d AS (SELECT conv_id, str, count(*) FILTER (WHERE kind = 'ident') AS i, count(*) FILTER (WHERE kind = 'raw') AS r, count(*) AS n, min(pos) AS p FROM r GROUP BY 1, 2),
+w AS (SELECT str, sum(i) AS i, sum(r) AS r, sum(n) AS n, min((CAST(conv_id AS VARCHAR), p)) AS f FROM d GROUP BY 1)
+SELECT 'doc' AS scope, CAST(conv_id AS VARCHAR) AS conv_id, str, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY p, str) - 1 AS BIGINT) AS idx, CAST(i AS BIGINT) AS ident_count, CAST(0 AS BIGINT) AS prop_count, CAST(r AS BIGINT) AS raw_count, CAST(n AS BIGINT) AS total_count FROM d
+UNION ALL SELECT 'ALL', '', str, CAST(row_number() OVER (ORDER BY f, str) - 1 AS BIGINT), CAST(i AS BIGINT), 0, CAST(r AS BIGINT), CAST(n AS BIGINT) FROM w""")
+def global_strings_scoped(spark, sf_dir):
+    """Counts of strings by kind with their order of appearance, per conversation and overall."""
+    return analyses.global_strings(T.conversation_trees(spark, sf_dir), "conv_id")
+
+
+def _scoped_windows_sql(sizes):
+    ranks = _rank_sql("conversations", "conv_id", "turn, text", "role")
+    return f"""WITH {ranks}, q AS (SELECT 'doc' AS scope, CAST(stream AS VARCHAR) AS conv_id, dist FROM r UNION ALL SELECT 'ALL', '', dist FROM r), w AS (SELECT unnest({sizes}) AS window_size),
+f AS (SELECT scope, conv_id, window_size, CASE WHEN dist >= window_size THEN -1 ELSE dist END AS rank, count(*) AS c FROM q CROSS JOIN w GROUP BY ALL),
+z AS (SELECT k.scope, k.conv_id, k.window_size, k.rank, coalesce(c, 0) AS c FROM (SELECT DISTINCT scope, conv_id, w.window_size, unnest(range(-1, w.window_size)) AS rank FROM q CROSS JOIN w) k LEFT JOIN f ON f.scope = k.scope AND f.conv_id = k.conv_id AND f.window_size = k.window_size AND f.rank = k.rank),
+t AS (SELECT scope, conv_id, window_size, sum(c) AS t, sum(c) FILTER (WHERE rank >= 0) AS h FROM z GROUP BY ALL),
+o AS (SELECT scope, conv_id, window_size, CASE WHEN rank < 0 THEN 'MISSES' ELSE CAST(rank AS VARCHAR) END AS index, c FROM z UNION ALL SELECT scope, conv_id, window_size, 'HITS', h FROM t UNION ALL SELECT scope, conv_id, window_size, 'TOTAL', t FROM t)
+SELECT o.scope, o.conv_id, CAST(o.window_size AS INT) AS window_size, index, CAST(c AS BIGINT) AS count, round(c / t, 9) AS prob FROM o JOIN t ON o.scope = t.scope AND o.conv_id = t.conv_id AND o.window_size = t.window_size"""
+
+
+@query(_scoped_windows_sql([2, 4]))
+def string_window_scoped(spark, sf_dir):
+    """Window histograms of the identifiers of conversation trees, per conversation and overall."""
+    w = analyses.string_window(T.conversation_trees(spark, sf_dir), [2, 4], "conv_id").where("str_kind = 'ident'")
+    return w.select("scope", "conv_id", "window_size", "index", F.col("count").cast("long").alias("count"), F.round("prob", 9).alias("prob"))
+
+
+@query()
+def entropy_code_conversations(spark, sf_dir):
+    """Bits of every label, and the bytes, of conversation trees coded by the models of all."""
+    nodes = T.conversation_trees(spark, sf_dir).withColumn("conv_id", F.col("conv_id").cast("string"))
+    freq = analyses.path_suffix(nodes, T.table_schema(), 2, "conv_id").where("scope = 'ALL'")
+    windows = analyses.string_window(nodes, [64], "conv_id").where("scope = 'ALL'")
+    model = coding.table_model(freq).unionByName(coding.string_model(windows, 64))
+    words = strings.dictionary(analyses.global_strings(nodes, "conv_id").where("scope = 'ALL'").select(F.col("str").alias("value"), "total_count"))
+    costed = coding.costs(coding.symbol_rows(nodes, "conv_id", 64, words), model)
+    bits = coding.rollup(costed, "conv_id").where("label = 'sym'").select("conv_id", F.round("bits", 4).alias("bits"), "symbols")
+    return bits.join(coding.encode(costed, "conv_id").select("conv_id", F.octet_length("coded").cast("long").alias("n_bytes")), "conv_id")
+
+
+# Schemas and scopes
+
+
+@query("""WITH RECURSIVE alias(name, kind, part) AS (VALUES ('Event', 'iface', 'Event'), ('Turn', 'iface', 'Turn'), ('History', 'iface', 'History'), ('Conversation', 'iface', 'Conversation'), ('EventType', 'enum', 'EventType'), ('Kind', 'ident', 'ident')),
+field(place, iface, name, part) AS (VALUES (0, 'Event', 'type', 'EventType'), (1, 'Event', 'value', 'null'), (1, 'Event', 'value', 'f64'), (2, 'Event', 'props', 'null'), (2, 'Event', 'props', 'str'), (0, 'Turn', 'role', 'null'), (0, 'Turn', 'role', 'Kind'), (1, 'Turn', 'text', 'null'), (1, 'Turn', 'text', 'str')),
+prim(name, r) AS (VALUES ('null', 0), ('bool', 1), ('uint', 2), ('int', 3), ('f64', 4), ('str', 5)),
+flat(iface, place, name, part, depth) AS (SELECT iface, place, name, part, 0 FROM field UNION SELECT f.iface, f.place, f.name, a.part, 1 FROM flat f JOIN alias a ON a.name = f.part AND f.depth = 0),
+leaf AS (SELECT f.*, p.r, a.kind FROM flat f LEFT JOIN prim p ON p.name = f.part LEFT JOIN alias a ON a.part = f.part WHERE p.r IS NOT NULL OR f.depth = 1)
+SELECT DISTINCT iface, name, CASE WHEN r IS NOT NULL THEN part WHEN kind = 'ident' THEN 'id(' || part || ')' WHEN kind = 'enum' THEN 'Enum<' || part || '>' ELSE 'Iface<' || part || '>' END AS member,
+  CAST(dense_rank() OVER (PARTITION BY iface, name ORDER BY CASE WHEN r IS NOT NULL THEN 0 WHEN kind = 'ident' THEN 1 WHEN kind = 'iface' THEN 3 ELSE 4 END, r, part) - 1 AS INT) AS sym_index FROM leaf""")
+def typeset_flatten(spark, sf_dir):
+    """The members of the type sets of fields, in symbol order (fields without arrays)."""
+    schema = T.table_schema()
+    sets = views.alphabets(spark, schema).where("alphabet like 'type %'").withColumn("bound", F.substring("alphabet", 6, 1000))
+    fields = views.fields(spark, schema).where("bound not like 'Array<%'")
+    return fields.join(sets, "bound").select("iface", "name", F.col("sym_name").alias("member"), "sym_index")
+
+
+_SCOPES = "(1, 'global', 0, 100, 0), (2, 'function', 10, 60, 1), (3, 'block', 20, 40, 2), (4, 'function', 25, 35, 3), (5, 'block', 70, 90, 1)"
+_BOUND = "(1, 'x'), (1, 'y'), (2, 'x'), (3, 'z'), (4, 'w'), (5, 'y')"
+_USED = "(5, 'x'), (15, 'x'), (22, 'x'), (30, 'x'), (30, 'y'), (30, 'z'), (30, 'w'), (45, 'z'), (75, 'y'), (80, 'x'), (95, 'q')"
+
+
+@query(f"""WITH s(scope, kind, b, e, depth) AS (VALUES {_SCOPES}), n(scope, name) AS (VALUES {_BOUND}), u(pos, name) AS (VALUES {_USED}),
+m AS (SELECT u.pos, u.name, arg_max(s.scope, s.depth) AS scope, max(s.depth) AS depth FROM u JOIN n ON n.name = u.name JOIN s ON s.scope = n.scope AND u.pos >= s.b AND u.pos < s.e GROUP BY 1, 2)
+SELECT u.pos, u.name, m.scope, coalesce((SELECT bool_or(f.kind = 'function') FROM s f WHERE f.depth > m.depth AND u.pos >= f.b AND u.pos < f.e), false) AS captured FROM u LEFT JOIN m ON m.pos = u.pos AND m.name = u.name""")
+def scope_capture(spark, sf_dir):
+    """Uses of names, the nearest scope that binds them, and whether a function lies between."""
+    s = spark.sql(f"select * from values {_SCOPES} as t(scope, kind, begin, end, depth)").withColumn("doc", F.lit(1))
+    n = spark.sql(f"select * from values {_BOUND} as t(scope, name)").withColumn("doc", F.lit(1))
+    u = spark.sql(f"select * from values {_USED} as t(pos, name)").withColumn("doc", F.lit(1))
+    return scopes.resolve_uses(u, s, n, ["doc"]).select("pos", "name", "scope", "captured")

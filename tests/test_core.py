@@ -5,16 +5,16 @@ import pytest
 from arborlens.functions import symbols as S
 from arborlens.functions.text_codes import code_points, wtf8
 from arborlens.operators.contexts import with_suffixes
-from arborlens.operators.range_coder import Decoder, Encoder
+from arborlens.operators.range_coder import Reader, Writer
 from arborlens.operators.recency import distances
 from arborlens.sources.trees import json_walk
 
 
 def test_range_coder_golden():
-    e = Encoder(0)
+    e = Writer(0)
     for step in ((88026, 0, 262142), (88202, 88026, 262142), (85914, 176228, 262142), (88026, 0, 262142)):
-        e.freq(*step)
-    e.byte(0x41)
+        e.code(*step)
+    e.bits(0x41, 8)
     assert e.finish().hex(" ") == "00 31 19 00 00 07"
 
 
@@ -26,13 +26,13 @@ def test_range_coder_round_trip(seed):
     for _ in range(r.randint(0, 500)):
         offset = r.randrange(total)
         steps.append((r.randint(1, total - offset), offset, total))
-    e = Encoder()
+    e = Writer()
     for s in steps:
-        e.freq(*s)
-    d = Decoder(e.finish())
+        e.code(*s)
+    d = Reader(e.finish())
     for size, offset, t in steps:
-        assert offset <= d.cum_freq(t) < offset + size
-        d.update(size, offset, t)
+        assert offset <= d.find(t) < offset + size
+        d.accept(size, offset, t)
 
 
 @pytest.mark.parametrize("limit", [1, 2, 3, 8])
