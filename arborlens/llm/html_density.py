@@ -14,6 +14,7 @@ while no article or main element beside them has any: of those the density decid
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -36,6 +37,7 @@ NOISE = re.compile(r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|nav
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?|\"[^\"]*\"|'[^']*'")
 _SPACE = re.compile(r"\s+")
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 
 
 class Node:
@@ -45,39 +47,83 @@ class Node:
         self.tag, self.up, self.dropped, self.noisy, self.items = tag, up, dropped, noisy, []
 
 
+class _Open:
+    """The open elements from the root to the current one, with the depths of every name, so an end is found without a walk."""
+
+    def __init__(self):
+        self.path, self.depths, self.skip = [Node("html", None)], {}, 0
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.path))
+        self.path.append(node)
+        self.skip += node.dropped
+
+    def cut(self, depth: int) -> None:
+        """Close the element at ``depth`` and those in it."""
+        while len(self.path) > depth:
+            node = self.path.pop()
+            self.depths[node.tag].pop()
+            self.skip -= node.dropped
+
+    def last(self, tags) -> int:
+        """Depth of the innermost open element of these names, 0 for none."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def end(self, tag: str) -> None:
+        """An end tag. That of an inline element closes no block, that of a paragraph nothing beyond a border."""
+        at = self.last((tag,))
+        if at and not (tag not in BLOCK and self.last(BLOCK) > at) and not (tag == "p" and self.last(BORDERS) > at):
+            self.cut(at)
+
+    def implied(self, tag: str) -> None:
+        """Close what an opening tag ends: paragraphs and items up to the next border."""
+        wanted = (("p",) if tag in ENDS_P else ()) + CLOSES.get(tag, ())
+        if not any(self.depths.get(t) for t in wanted):
+            return
+        border = self.last(t for t in _BARRIERS if t not in wanted)
+        inner = [d[k] for t in wanted if (d := self.depths.get(t)) and (k := bisect.bisect_right(d, border)) < len(d)]
+        if inner:
+            self.cut(min(inner))
+
+
+#: Elements beyond which an opening tag closes nothing.
+_BARRIERS = (BLOCK | BORDERS) - {"p"}
+
+
 def parse(page: str) -> Node:
-    """A tree of nodes and strings; ends of elements that pages leave out are added where HTML says so."""
-    root = Node("html", None)
-    at, here = 0, root
-    skip = 0  # depth inside a dropped element
-    size = len(page)
+    """A tree of nodes and strings; ends of elements that pages leave out are added where HTML says so. Linear in the page."""
+    held = _Open()
+    root = held.path[0]
+    at, size = 0, len(page)
     while at < size:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else size]
-        if text and not skip:
+        here = held.path[-1]
+        if text and not held.skip:
             here.items.append(html.unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
-            if m[0].startswith("<![CDATA[") and not skip:
+            if m[0].startswith("<![CDATA[") and not held.skip:
                 here.items.append(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:])
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            here, skip = _close(here, tag, skip)
+            held.end(tag)
             continue
         inner = m[3] or ""
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = _RAW_ENDS[tag].search(page, at)
             at = end.end() if end else size
             continue
         if tag in ("html", "body"):
             continue
-        here, skip = _implied(here, tag, skip)
+        held.implied(tag)
+        here, skip = held.path[-1], held.skip
         drop = bool(skip) or tag in DROPPED or bool(inner) and _unseen(inner)
-        if tag == "header" and not skip and _inside(here, "article"):
+        if tag == "header" and not skip and held.depths.get("article"):
             drop = bool(inner) and _unseen(inner)  # an article's own header holds its heading
         node = Node(tag, here, drop, noisy=not drop and bool(inner) and tag not in ("article", "main") and _noise(inner))
         if not drop:
@@ -85,19 +131,10 @@ def parse(page: str) -> Node:
         elif tag in BLOCK and not skip:
             here.items.append(Node("hr", here))  # what stands on either side is not one block
         if tag not in VOID:
-            here = node
-            skip += drop
+            held.push(node)
     return root
 
 
-def _inside(node, tag):
-    while node:
-        if node.tag == tag:
-            return True
-        node = node.up
-    return False
-
-
 def _attributes(inner: str):
     for name, value in _ATTR.findall(inner):
         yield name.lower(), html.unescape(value.strip("\"'"))
@@ -147,48 +184,6 @@ def _prune(root: Node) -> None:
             n.items = kept
 
 
-def _pop(node, skip):
-    return node.up, skip - node.dropped
-
-
-def _close(here, tag, skip):
-    node = here
-    while node.up is not None and node.tag != tag:
-        if tag not in BLOCK and node.tag in BLOCK:
-            return here, skip  # an inline end doesn't close blocks
-        if tag == "p" and node.tag in BORDERS:
-            return here, skip
-        node = node.up
-    if node.up is None:
-        return here, skip
-    while True:
-        last = here
-        here, skip = _pop(here, skip)
-        if last is node:
-            return here, skip
-
-
-def _implied(here, tag, skip):
-    wanted = ("p",) if tag in ENDS_P else ()
-    wanted += CLOSES.get(tag, ())
-    if not wanted:
-        return here, skip
-    node, last = here, None
-    while node.up is not None:
-        if node.tag in wanted:
-            last = node
-        if node.tag in BORDERS or node.tag in BLOCK and node.tag not in wanted and node.tag != "p":
-            break
-        node = node.up
-    if last is None:
-        return here, skip
-    while True:
-        now = here
-        here, skip = _pop(here, skip)
-        if now is last:
-            return here, skip
-
-
 def _measure(root: Node) -> None:
     """Characters, tags and densities of all nodes, bottom up, without recursion (pages may nest deeply)."""
     order, stack = [], [root]
