@@ -2,7 +2,7 @@
 
 A conversation becomes windows of whole turns. Prefix sums of turn tokens choose the spans: a turn opens a new
 window when the current one would exceed the budget. Each later window repeats the system turn and the last
-turns before its span that fit the history budget; what is repeated is left out of the loss mask, so every
+turns before its span that fit the history budget and the window; what is repeated is left out of the loss mask, so every
 assistant text is a target exactly once. A turn longer than the budget has a window of its own; nothing is cut.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. Control strings inside roles and texts are escaped by
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 ESC = "␛"
 START, END = "<|im_start|>", "<|im_end|>"
@@ -34,60 +35,56 @@ def unescape(col):
     return col
 
 
+def _turns(df: DataFrame, conv_col, turn_col, role_col, text_col, budget: int, history_turns: int, history_budget: int) -> DataFrame:
+    """A row per turn: its place ``i``, the formatted head ``h`` and body ``b``, its tokens ``k``, how many turns before it a window
+    that begins with it repeats (``past``), whether the system turn stands before those (``keep``), and the tokens of such a beginning."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    role = F.coalesce(F.col(role_col).cast("string"), F.lit(""))
+    head = F.concat(F.lit(START), F.replace(escape(role), F.lit("\n"), F.lit(f"{ESC}9")), F.lit("\n"))
+    rows = df.select(F.col(conv_col).alias("_conv"), F.col(turn_col).alias("_turn"), role.alias("_role"), text.alias("_text"), head.alias("h"), escape(text).alias("b"))
+    rows = rows.withColumn("k", F.ceil((F.length("h") + F.length("b") + len(END) + 1) / CHARS_PER_TOKEN).cast("long"))
+    w = Window.partitionBy("_conv").orderBy("_turn", "_role", "_text")
+    rows = rows.withColumns({"i": F.row_number().over(w) - 1, "k0": F.first("k").over(w), "sys": (F.first("_role").over(w) == "system").cast("int"), **{f"sum{n}": F.sum("k").over(w.rowsBetween(-n, -1)) for n in range(1, history_turns + 1)}})
+    rows = rows.withColumn("keep", F.when((F.col("sys") == 1) & (F.col("i") > 0) & (F.col("k0") + F.col("k") <= budget), 1).otherwise(0))
+    own = F.col("keep") * F.col("k0") + F.col("k")
+    past, spent = F.lit(0), F.lit(0).cast("long")
+    for n in range(1, history_turns + 1):
+        fits = (F.col("i") - F.col("sys") >= n) & (F.col(f"sum{n}") <= history_budget) & (own + F.col(f"sum{n}") <= budget)
+        past, spent = F.when(fits, n).otherwise(past), F.when(fits, F.col(f"sum{n}")).otherwise(spent)
+    return rows.select("_conv", "i", "h", "b", "k", (F.col("_role") == "assistant").alias("target"), past.alias("past"), "keep", (own + spent).alias("begins"))
+
+
 def format_chat(df: DataFrame, *, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text", budget: int = 2048, history_turns: int = 2, history_budget: int = 512) -> DataFrame:
     """(conv, window, text, n_repeated, loss array<struct<start, length>>, n_tokens), one row per window.
 
     ``loss`` counts code points of ``text`` from 1. ``n_repeated`` is the number of turns at the window's start that
-    an earlier window holds too. Null roles and texts count as empty; equal turn numbers are ordered by role and
+    an earlier window holds too. No window exceeds the budget but one whose own single turn does: the history shrinks, and where
+    the system turn doesn't fit beside a turn it is left out. Null roles and texts count as empty; equal turn numbers are ordered by role and
     text; repeated rows are turns of their own; a null conversation id is a conversation. A newline in a role is
-    escaped. An empty table gives no window. A conversation is one row while it is cut, as its windows are ordered;
-    rows are combined map-side. Other columns are not read.
+    escaped. An empty table gives no window. Only the numbers of a conversation's turns meet in one row, to be cut into
+    windows; texts are sorted by conversation and gathered by window. Other columns are not read.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    role = F.coalesce(F.col(role_col).cast("string"), F.lit(""))
-    head = F.concat(F.lit(START), F.replace(escape(role), F.lit("\n"), F.lit(f"{ESC}9")), F.lit("\n"))
-    body = escape(text)
-    turns = df.select(F.col(conv_col).alias("_conv"), F.col(turn_col).alias("_turn"), role.alias("_role"), text.alias("_text"), head.alias("h"), body.alias("b")).select(
-        "_conv",
-        F.struct("_turn", "_role", "_text", "h", "b", F.ceil((F.length("h") + F.length("b") + len(END) + 1) / CHARS_PER_TOKEN).cast("long").alias("k")).alias("t"),
-    )
-    conv = turns.groupBy("_conv").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    conv = conv.selectExpr("_conv", "transform(ts, t -> struct(t.h, t.b, t.k, t._role = 'assistant' as target)) ts", "if(ts[0]._role = 'system', 1, 0) sys")
-    # Starts of the windows. In a later window the system turn and the history count against the budget.
-    conv = conv.selectExpr(
-        "*",
-        f"""aggregate(sequence(0, size(ts) - 1),
-            struct(array(0) as starts, cast(0 as bigint) as used),
-            (s, i) -> if(i > 0 and s.used + ts[i].k > {budget} and i > element_at(s.starts, -1),
-              struct(concat(s.starts, array(i)) as starts,
-                     if(sys = 1, ts[0].k, 0L)
-                     + if(i > sys and ts[i - 1].k <= {history_budget}, aggregate(slice(ts, greatest(sys, i - {history_turns}) + 1, i - greatest(sys, i - {history_turns})), struct(0L as sum), (a, t) -> struct(a.sum + t.k as sum), a -> if(a.sum <= {history_budget}, a.sum, ts[i - 1].k)), 0L)
-                     + ts[i].k as used),
-              struct(s.starts as starts, s.used + ts[i].k as used)),
-            s -> s.starts) starts""",
-    )
-    w = conv.selectExpr("_conv", "ts", "sys", "starts", "posexplode(starts) as (window, at)")
-    w = w.selectExpr("*", "coalesce(try_element_at(starts, window + 2), size(ts)) as to")
-    # History: the last turns before the span that fit together, or the last alone, or none.
-    w = w.selectExpr(
-        "*",
-        f"""case when window = 0 or at <= sys or ts[at - 1].k > {history_budget} then 0
-             when aggregate(slice(ts, greatest(sys, at - {history_turns}) + 1, at - greatest(sys, at - {history_turns})), 0L, (a, t) -> a + t.k) <= {history_budget} then at - greatest(sys, at - {history_turns})
-             else 1 end as past""",
-    )
-    w = w.selectExpr("_conv", "window", "concat(if(window > 0 and sys = 1, slice(ts, 1, 1), slice(ts, 1, 0)), slice(ts, at - past + 1, to - at + past)) as own", "if(window > 0, sys, 0) + past as n_repeated")
+    turns = _turns(df, conv_col, turn_col, role_col, text_col, budget, history_turns, history_budget)
+    numbers = turns.groupBy("_conv").agg(F.array_sort(F.collect_list(F.struct("i", "k", "begins", "past", "keep"))).alias("t"))
+    # Prefix sums of turn tokens: a turn opens a window where the open one can't take it.
+    starts = """aggregate(if(size(t) > 1, sequence(1, size(t) - 1), cast(array() as array<int>)), struct(array(0) as starts, t[0].k as used),
+        (s, i) -> if(s.used + t[i].k > {budget}, struct(concat(s.starts, array(i)) as starts, t[i].begins as used), struct(s.starts as starts, s.used + t[i].k as used)), s -> s.starts)"""
+    cuts = numbers.select("_conv", F.size("t").alias("n"), "t", F.expr(starts.format(budget=budget)).alias("starts"))
+    spans = cuts.selectExpr("_conv", "inline(transform(starts, (at, w) -> struct(w as window, at as at, coalesce(get(starts, w + 1), n) as to, if(w = 0, 0, t[at].past) as past, if(w = 0, 0, t[at].keep) as keep)))")
+    held = spans.selectExpr("_conv as _own", "window", "at", "explode(concat(if(keep = 1, array(0), cast(array() as array<int>)), sequence(at - past, to - 1))) as place")
+    rows = held.join(turns, F.expr("_own <=> _conv and place = i"))
     tail = f"{END}\n"
-    w = w.withColumn(
-        "offsets",
-        F.expr(f"aggregate(own, array(cast(0 as bigint)), (s, t) -> concat(s, array(element_at(s, -1) + length(t.h) + length(t.b) + {len(tail)})))"),
-    )
-    return w.select(
-        F.col("_conv").alias(conv_col),
+    size = F.length("h") + F.length("b") + len(tail)
+    before = F.coalesce(F.sum(size).over(Window.partitionBy("_own", "window").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumns({"first": before + F.length("h") + 1, "fresh": F.col("place") >= F.col("at")})
+    parts = rows.groupBy("_own", "window").agg(F.array_sort(F.collect_list(F.struct("place", F.concat("h", "b", F.lit(tail)).alias("said"), (F.col("fresh") & F.col("target")).alias("loss"), "first", F.length("b").cast("long").alias("size")))).alias("p"), F.sum("k").alias("n_tokens"), F.count_if(~F.col("fresh")).alias("n_repeated"))
+    return parts.select(
+        F.col("_own").alias(conv_col),
         F.col("window").cast("long").alias("window"),
-        F.concat_ws("", F.transform("own", lambda t: F.concat(t["h"], t["b"], F.lit(tail)))).alias("text"),
-        F.col("n_repeated").cast("long").alias("n_repeated"),
-        F.expr("transform(filter(sequence(0, size(own) - 1), i -> i >= n_repeated and own[i].target), i -> struct(offsets[i] + length(own[i].h) + 1 as start, cast(length(own[i].b) as bigint) as length))").alias("loss"),
-        F.expr("aggregate(own, 0L, (s, t) -> s + t.k)").alias("n_tokens"),
+        F.array_join(F.transform("p", lambda x: x["said"]), "").alias("text"),
+        "n_repeated",
+        F.transform(F.filter("p", lambda x: x["loss"]), lambda x: F.struct(x["first"].alias("start"), x["size"].alias("length"))).alias("loss"),
+        "n_tokens",
     )
 
 

@@ -52,7 +52,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def planted_conversation(spark: SparkSession) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    return spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return spark.sql(f"select * from values (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') as t(conv_id, turn, role, text)")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,14 +119,16 @@ k AS (
 p AS (
   SELECT *, lag(k, 1) OVER w AS k1, lag(k, 2) OVER w AS k2, lag(len, 1) OVER w AS l1, lag(len, 2) OVER w AS l2,
     first_value(k) OVER w AS k0, first_value(len) OVER w AS l0 FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
-h AS (
-  SELECT *, CASE WHEN i <= sys OR k1 > {history} THEN 0 WHEN i - sys >= 2 AND k1 + k2 <= {history} THEN k1 + k2 ELSE k1 END AS hk,
-    CASE WHEN i <= sys OR k1 > {history} THEN 0 WHEN i - sys >= 2 AND k1 + k2 <= {history} THEN l1 + l2 ELSE l1 END AS hlen FROM p),
+g AS (SELECT *, CASE WHEN sys = 1 AND i > 0 AND k0 + k <= {budget} THEN 1 ELSE 0 END AS keep FROM p),
+n AS (
+  SELECT *, CASE WHEN i - sys >= 2 AND k1 + k2 <= {history} AND keep * k0 + k + k1 + k2 <= {budget} THEN 2
+    WHEN i - sys >= 1 AND k1 <= {history} AND keep * k0 + k + k1 <= {budget} THEN 1 ELSE 0 END AS past FROM g),
+h AS (SELECT *, CASE past WHEN 2 THEN k1 + k2 WHEN 1 THEN k1 ELSE 0 END AS hk, CASE past WHEN 2 THEN l1 + l2 WHEN 1 THEN l1 ELSE 0 END AS hlen FROM n),
 r AS (
   SELECT conv_id, i, k AS used, CAST(0 AS BIGINT) AS extra FROM h WHERE i = 0
   UNION ALL
-  SELECT h.conv_id, h.i, CASE WHEN r.used + h.k > {budget} THEN h.sys * h.k0 + h.hk + h.k ELSE r.used + h.k END,
-    CAST(CASE WHEN r.used + h.k > {budget} THEN h.sys * h.l0 + h.hlen ELSE 0 END AS BIGINT)
+  SELECT h.conv_id, h.i, CASE WHEN r.used + h.k > {budget} THEN h.keep * h.k0 + h.hk + h.k ELSE r.used + h.k END,
+    CAST(CASE WHEN r.used + h.k > {budget} THEN h.keep * h.l0 + h.hlen ELSE 0 END AS BIGINT)
   FROM r JOIN h ON h.conv_id = r.conv_id AND h.i = r.i + 1),
 x AS (SELECT conv_id, sum(extra) AS extra FROM r GROUP BY conv_id),
 a AS (
