@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arborlens.llm.common import cut
+from arborlens.llm.common import cut, forget
 from arborlens.llm.components import connected_components
 
 #: Vectors of one cell that are wanted; pivots are chosen so that a label has about that many per cell.
@@ -65,7 +65,7 @@ def embedding_components(df: DataFrame, *, id_col: str = "vec_id", vector_col: s
     Only vectors of equal labels (and dimensions) are compared. Vectors that are null, empty, zero or hold null or
     non-finite components, and rows without label or id, link with nothing. Equal vectors are searched once and
     link with each other by count. Rows that repeat an id count as one node; its links are those of all its
-    vectors. An empty table gives an empty result. Other columns are not read.
+    vectors, summed up, to vectors of any row. An empty table gives an empty result. Other columns are not read.
     """
     spark = df.sparkSession
     rows = cut(_usable(df, id_col, vector_col, label_col))
@@ -100,7 +100,7 @@ def embedding_components(df: DataFrame, *, id_col: str = "vec_id", vector_col: s
         import pyarrow as pa
 
         for batch in batches:
-            labels, dims, reps, copies = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("label", "dim", "rep", "copies"))
+            labels, dims, names, copies = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("label", "dim", "node", "copies"))
             vs = batch.column(batch.schema.get_field_index("v"))
             by: dict = {}
             for i, key in enumerate(zip(labels, dims, strict=True)):
@@ -118,41 +118,41 @@ def embedding_components(df: DataFrame, *, id_col: str = "vec_id", vector_col: s
                     for a in range(0, len(row), 1 << 13):  # a query may visit thousands of cells
                         r, c = row[a : a + (1 << 13)], cell[a : a + (1 << 13)]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(first + c, pa.int64()), pa.array(c == own[r], pa.bool_()), pa.array([reps[i] for i in some[r]], pa.int64()), pa.array([copies[i] for i in some[r]], pa.int64()), pa.array([x[i].tobytes() for i in r], pa.binary())],
-                            names=["shard", "own", "rep", "copies", "v"],
+                            [pa.array(first + c, pa.int64()), pa.array(c == own[r], pa.bool_()), pa.array([names[i] for i in some[r]], pa.int64()), pa.array([copies[i] for i in some[r]], pa.int64()), pa.array([x[i].tobytes() for i in r], pa.binary())],
+                            names=["shard", "own", "node", "copies", "v"],
                         )
 
-    dealt = nodes.select("label", "dim", "rep", "copies", "v").mapInArrow(deal, "shard long, own boolean, rep long, copies long, v binary")
+    dealt = nodes.select("label", "dim", "node", "copies", "v").mapInArrow(deal, "shard long, own boolean, node long, copies long, v binary")
     # A cell of more members or queries than a block (one cluster may hold a third of all vectors) is cut by hashes
     # into a grid: every part of its members meets every part of its queries once.
-    dealt = cut(dealt)
+    held = dealt = cut(dealt)
     sizes = dealt.groupBy("shard").agg(*(F.ceil(F.greatest(F.sum(n), F.lit(1)) / BLOCK).alias(k) for k, n in (("ms", F.col("own").cast("long")), ("qs", F.lit(1)))))
     dealt = dealt.join(F.broadcast(sizes), "shard")  # a row per pivot
-    dealt = dealt.withColumn("m", F.pmod(F.xxhash64("rep", "v"), F.col("ms"))).withColumn("q", F.pmod(F.xxhash64("v", "rep"), F.col("qs")))
+    dealt = dealt.withColumn("m", F.pmod(F.xxhash64("node", "v"), F.col("ms"))).withColumn("q", F.pmod(F.xxhash64("v", "node"), F.col("qs")))
     zero = F.lit(0).cast("long")
     asks = F.transform(F.sequence(zero, F.col("ms") - 1), lambda m: F.struct(m.alias("m"), F.col("q").alias("q")))
     stands = F.transform(F.sequence(zero, F.col("qs") - 1), lambda q: F.struct(F.col("m").alias("m"), q.alias("q")))
     visits = dealt.withColumn("at", F.explode(F.when(F.col("own"), F.array_union(asks, stands)).otherwise(asks)))
-    visits = visits.select("shard", F.col("at.m").alias("am"), F.col("at.q").alias("aq"), "rep", "copies", "v", (F.col("own") & (F.col("at.m") == F.col("m"))).alias("member"), (F.col("at.q") == F.col("q")).alias("query"))
+    visits = visits.select("shard", F.col("at.m").alias("am"), F.col("at.q").alias("aq"), "node", "copies", "v", (F.col("own") & (F.col("at.m") == F.col("m"))).alias("member"), (F.col("at.q") == F.col("q")).alias("query"))
 
     def search(key, table):
         import pyarrow as pa
 
         x = np.frombuffer(b"".join(table.column("v").to_pylist()), dtype=np.float64).reshape(table.num_rows, -1)
-        rep = np.array(table.column("rep").to_pylist(), dtype=np.int64)
+        node = np.array(table.column("node").to_pylist(), dtype=np.int64)
         copies = np.array(table.column("copies").to_pylist(), dtype=np.int64)
         inside = np.flatnonzero(np.array(table.column("member").to_pylist(), dtype=bool))
         queries = np.flatnonzero(np.array(table.column("query").to_pylist(), dtype=bool))
-        y, y_rep, y_copies = x[inside], rep[inside], copies[inside]
-        ids, links, other = [], [], []
+        y, y_node, y_copies = x[inside], node[inside], copies[inside]
+        found_of, links, other = [], [], []
         group = np.arange(len(x))  # a name per component of the links seen so far
         for k in range(0, len(queries) if len(inside) else 0, ROWS):
             some = queries[k : k + ROWS]
-            near = (x[some] @ y.T >= threshold) & (rep[some][:, None] != y_rep[None, :])
+            near = (x[some] @ y.T >= threshold) & (node[some][:, None] != y_node[None, :])
             total = near @ y_copies
             for row in np.flatnonzero(near.any(axis=1)):
                 q = some[row]
-                ids.append(int(rep[q]))
+                found_of.append(int(node[q]))
                 links.append(int(total[row]))
                 other.append(None)
                 found = inside[near[row]]
@@ -161,23 +161,27 @@ def embedding_components(df: DataFrame, *, id_col: str = "vec_id", vector_col: s
                 if new.any():  # a spanning forest of the task's links, not all of them
                     heads, at = np.unique(names[new], return_index=True)
                     for f in found[new][at]:
-                        ids.append(int(rep[q]))
+                        found_of.append(int(node[q]))
                         links.append(0)
-                        other.append(int(rep[f]))
+                        other.append(int(node[f]))
                     group[np.isin(group, heads)] = group[q]
-        return pa.table({"rep": pa.array(ids, pa.int64()), "links": pa.array(links, pa.int64()), "other": pa.array(other, pa.int64())})
-
-    found = cut(visits.groupBy("shard", "am", "aq").applyInArrow(search, "rep long, links long, other long"))
-    copies = rows.join(nodes.select("label", "dim", "v", "rep", "copies"), ["label", "dim", "v"]).select("id", "rep", "copies")
-    copies = cut(copies)
-    edges = found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")).unionByName(copies.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    comps = connected_components(edges)
-    links = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
-    per = copies.join(links, "rep", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")).groupBy("id").agg(F.max("n_links").alias("n_links"))
+        return pa.table({"node": pa.array(found_of, pa.int64()), "links": pa.array(links, pa.int64()), "other": pa.array(other, pa.int64())})
+
+    found = cut(visits.groupBy("shard", "am", "aq").applyInArrow(search, "node long, links long, other long"))
+    copies = cut(rows.join(nodes.select("label", "dim", "v", "node", "rep", "copies"), ["label", "dim", "v"]).select("id", "node", "rep", "copies"))
+    reps = nodes.select("node", "rep")
+    met = found.where("other is not null").select("node", "other").distinct().join(reps.withColumnRenamed("rep", "a"), "node")
+    met = met.join(reps.select(F.col("node").alias("other"), F.col("rep").alias("b")), "other").select("a", "b")
+    comps = connected_components(met.unionByName(copies.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
+    links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
+    per = copies.join(links, "node", "left").groupBy("id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     every = df.select(F.col(id_col).alias("_own"), F.col(id_col).cast("long").alias("id"))
     out = every.join(per, "id", "left").join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
     comp = F.coalesce("component", "id")
-    return out.select(F.col("_own").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), comp.eqNullSafe(F.col("id")).alias("kept"))
+    out = cut(out.select(F.col("_own").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), comp.eqNullSafe(F.col("id")).alias("kept")))
+    for table in (rows, nodes, held, found, copies):
+        forget(table)
+    return out
 
 
 def audit_recall(df: DataFrame, result: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, every: int = 100) -> tuple[int, int]:
