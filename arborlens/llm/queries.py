@@ -20,6 +20,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def tokenizer_files() -> dict:
+    """The tokenizer, and the same vocabulary as ranks."""
+    import public_tokenizers
+
+    return {"tokenizer": tokenizer_path(), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
 def topic(text):
     """The topic of a document without one: its form, by length."""
     n = F.length(F.coalesce(text, F.lit("")))
@@ -47,7 +54,7 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer=tokenizer_path(), capacity=2048, end_id=1).drop("ids")
+    return packing.pack(read_table(spark, sf_dir, "documents"), **tokenizer_files(), capacity=2048, end_id=1).drop("ids")
 
 
 def planted_conversation(spark: SparkSession) -> DataFrame:

@@ -36,3 +36,16 @@ def test_mixing_keeps_its_budget(spark, tmp_path):
     assert len({r.doc_id for r in kept}) == len(kept)
     assert 0.77 < sum(len(r.text) for r in kept) / sum(len(r[1]) for r in rows) < 0.83
     assert 5000 in {r.doc_id for r in kept}
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and an empty table go through every stage."""
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (None, "some words here", "en", None, 3), (4, "x " * 5000, "de", "b", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, 1), (None, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (docs, docs.limit(0)):
+        left = table
+        for name, stage in corpus_pipeline.STAGES:
+            left = stage(spark, left, str(tmp_path))
+            assert name == "packing" or left.columns == docs.columns
+        assert left.count() <= 20
