@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from arborlens.llm import exact_dedup, mixing, packing, sketch_join, toxicity
 from arborlens.llm.common import cut, read_table
-from arborlens.llm.queries import MIX_BUDGET, MIX_TARGETS, tokenizer_path, topic
+from arborlens.llm.queries import MIX_BUDGET, MIX_TARGETS, tokenizer_files, topic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 ids; a row per piece."""
-    return packing.pack(docs, tokenizer=tokenizer_path(), capacity=2048, end_id=1).drop("ids")
+    return packing.pack(docs, **tokenizer_files(), capacity=2048, end_id=1).drop("ids")
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("ngram_jaccard_join", drop_near_copies), ("mixing", mix_sources), ("packing", pack_windows)]
