@@ -43,7 +43,7 @@ def wanted(options: argparse.Namespace) -> dict[str, dict]:
     if options.path_suffix:
         out["path-suffix"] = {"length": options.path_suffix_length}
     if options.global_strings:
-        out["global-strings"] = {}
+        out["global-strings"] = {"compat": options.compat}
     if options.entropy_code:
         out["entropy-code"] = {"least_size": options.least_size}
     return out

@@ -48,7 +48,8 @@ def symbol_rows(nodes: DataFrame, doc: str, window: int, words: DataFrame, max_l
     """(doc, seq, part, model, sym_index, c1, c2, c3, bits, raw): what is coded for every location, in order of (seq, part).
 
     Types and values have a model and an index. Misses are followed by a reference, and floats stand for themselves: those have
-    ``bits`` and ``raw`` bytes. ``words`` is the dictionary (value, id).
+    ``bits`` and ``raw`` bytes. ``words`` is the dictionary (value, id). ``compat`` keeps recency over all documents in their order, and
+    writes zero bytes for references and floats, as one known program does.
     """
     rows = contexts.longest_context(nodes, max_len)
     none = F.lit(None)
@@ -60,11 +61,15 @@ def symbol_rows(nodes: DataFrame, doc: str, window: int, words: DataFrame, max_l
     )
     trees = rows.select(doc, "seq", F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p")).select(doc, "seq", "p.*")
     refs = nodes.where("str_kind is not null").select(doc, "seq", "str_kind", "str_value")
-    ranked = recency.mtf_ranks(refs, [doc, "str_kind"], ["seq"], "str_value", window)
+    # ``compat``: recency goes on from document to document, so each kind is one ordered stream.
+    ranked = recency.mtf_ranks(refs, ["str_kind"], [doc, "seq"], "str_value", window) if compat else recency.mtf_ranks(refs, [doc, "str_kind"], ["seq"], "str_value", window)
     coded = ranked.select(doc, "seq", F.lit(2).alias("part"), F.concat(F.lit("string#"), "str_kind").alias("model"), F.when(F.col("dist") < 0, window).otherwise(F.col("dist")).alias("sym_index"), F.lit("string").alias("c1"), F.col("str_kind").alias("c2"), text.alias("c3"), none.cast("double").alias("bits"), none.cast("binary").alias("raw"))
     known = strings.escape_references(ranked.where("dist < 0"), words.withColumnRenamed("value", "str_value"), doc, "str_value", ["seq"], compat=compat).select(doc, "str_value", "ref", F.col("bits").cast("double").alias("bits"))
     escapes = ranked.where("dist < 0").join(known, [doc, "str_value"]).select(doc, "seq", F.lit(3).alias("part"), text.alias("model"), none.cast("int").alias("sym_index"), F.lit("string").alias("c1"), F.lit("escape").alias("c2"), F.col("str_kind").alias("c3"), "bits", varuint_bytes(F.col("ref")).alias("raw"))
-    return trees.unionByName(coded).unionByName(escapes)
+    out = trees.unionByName(coded).unionByName(escapes)
+    if compat:
+        out = out.withColumn("raw", F.when(F.col("raw").isNotNull(), F.unhex(F.repeat(F.lit("00"), F.ceil(F.col("bits") / 8).cast("int")))))
+    return out
 
 
 def _double_bytes(v: Column) -> Column:

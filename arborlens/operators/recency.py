@@ -14,12 +14,13 @@ from arborlens.operators.ordering import global_index
 MAX_WINDOW, DEFAULT_WINDOW = 4096, 64
 
 
-def distances(values, limit: int):
-    """Distances of a sequence by a bounded move-to-front list; -1 from ``limit`` on and for first occurrences."""
+def distances(values, limit: int, front: list | None = None):
+    """Distances of a sequence by a bounded move-to-front list; -1 from ``limit`` on and for first occurrences. ``front`` is the list
+    before the first value, the latest symbol first."""
     import numpy as np
 
-    front: list = []
-    known: set = set()
+    front = list(front or [])[:limit]
+    known: set = set(front)
     out = np.empty(len(values), dtype=np.int32)
     for k, v in enumerate(values):
         if v in known:
@@ -35,24 +36,88 @@ def distances(values, limit: int):
     return out
 
 
-def mtf_ranks(df: DataFrame, stream: list[str], order: list[str], symbol: str, limit: int = MAX_WINDOW) -> DataFrame:
-    """``df``'s stream, order and symbol columns and ``dist``. A stream is one group, as its state is sequential; different
-    streams spread over the cluster. Only the needed columns are shuffled. Null symbols are symbols of their own."""
+def latest(values, limit: int) -> list:
+    """The last ``limit`` distinct values, the latest first."""
+    out: dict = {}
+    for v in reversed(values):
+        out.setdefault(v)
+        if len(out) == limit:
+            break
+    return list(out)
+
+
+def mtf_ranks(df: DataFrame, stream: list[str], order: list[str], symbol: str, limit: int = MAX_WINDOW, chunk: int | None = None) -> DataFrame:
+    """``df``'s stream, order and symbol columns and ``dist``. Only these columns are shuffled. Null symbols are symbols of their own;
+    rows that are equal in order are taken by symbol.
+
+    Without ``chunk`` a stream is one group, and different streams spread over the cluster. With it rows are sorted over the
+    cluster and cut into groups of ``chunk`` rows, however long a stream is: a group begins with the list that the ones before it leave, which
+    is put together from the last ``limit`` symbols of each.
+    """
     if not 1 <= limit <= MAX_WINDOW:
         raise ValueError(f"window size must be 1..{MAX_WINDOW}")
-    cols = [*stream, *order, symbol]
-    src = df.select(*dict.fromkeys(cols))
+    src = df.select(*dict.fromkeys([*stream, *order, symbol]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
+    if chunk is not None:
+        return _chunked(src, schema, stream, order, symbol, limit, chunk)
 
     def run(table):
         import pyarrow as pa
 
-        table = table.sort_by([(c, "ascending") for c in order])
+        table = table.sort_by([(c, "ascending") for c in dict.fromkeys([*order, symbol])])
         return table.append_column("dist", pa.array(distances(table.column(symbol).to_pylist(), limit), pa.int32()))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields)
     return src.groupBy(*stream).applyInArrow(run, f"{schema}, dist int")
 
 
+def _chunked(src: DataFrame, schema: str, stream: list[str], order: list[str], symbol: str, limit: int, chunk: int) -> DataFrame:
+    placed = global_index(src, list(dict.fromkeys([*stream, *order, symbol])), "_pos").withColumn("_chunk", F.floor(F.col("_pos") / chunk).cast("long"))
+    kind = src.schema[symbol].dataType.simpleString()
+    shape = f"_chunk long, _key string, _whole boolean, _front array<{kind}>"
+
+    def keys(table) -> list[str]:
+        return [repr(k) for k in zip(*(table.column(c).to_pylist() for c in stream), strict=True)]
+
+    def tail(table):
+        """Of the last stream of a chunk its latest symbols, and whether it is all of the chunk."""
+        import pyarrow as pa
+
+        table = table.sort_by("_pos")
+        names = keys(table)
+        first = names.index(names[-1])
+        front = latest(table.column(symbol).to_pylist()[first:], limit)
+        return pa.table({"_chunk": table.column("_chunk")[:1], "_key": pa.array([names[-1]]), "_whole": pa.array([first == 0]), "_front": pa.array([front], pa.list_(table.schema.field(symbol).type))})
+
+    def heads(table):
+        """The list with which each chunk begins: a row per chunk is all that meets here."""
+        import pyarrow as pa
+
+        key, front, out = None, [], []
+        rows = sorted(table.to_pylist(), key=lambda r: r["_chunk"])
+        for r in rows:
+            out.append((r["_chunk"], key, front))
+            goes_on = r["_whole"] and r["_key"] == key
+            front = (r["_front"] + [x for x in front if x not in r["_front"]])[:limit] if goes_on else r["_front"]
+            key = r["_key"]
+        c, k, f = zip(*out, strict=True)
+        return pa.table({"_chunk": pa.array(c, pa.int64()), "_key": pa.array(k, pa.string()), "_whole": pa.array([True] * len(c)), "_front": pa.array(f, table.schema.field("_front").type)})
+
+    def run(table, head):
+        import numpy as np
+        import pyarrow as pa
+
+        table = table.sort_by("_pos")
+        names, values = keys(table), table.column(symbol).to_pylist()
+        cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+        begin = head.column("_front")[0].as_py() if head.num_rows and head.column("_key")[0].as_py() == names[0] else []
+        dist = np.concatenate([distances(values[a:b], limit, begin if a == 0 else None) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        return table.drop_columns(["_pos", "_chunk"]).append_column("dist", pa.array(dist, pa.int32()))
+
+    tails = placed.groupBy("_chunk").applyInArrow(tail, shape)
+    begins = tails.withColumn("_one", F.lit(1)).groupBy("_one").applyInArrow(lambda t: heads(t), shape)
+    return placed.groupBy("_chunk").cogroup(begins.groupBy("_chunk")).applyInArrow(run, f"{schema}, dist int")
+
+
 def token_ranks(df: DataFrame, doc: str, text: str, limit: int = DEFAULT_WINDOW) -> DataFrame:
     """(doc, rank, hits) of the space-separated words of each text. A text is one row, so no shuffle is needed at all."""
 

@@ -263,7 +263,7 @@ class GlobalStrings(Analysis):
         s = tables["strings"]
         rows = s.select("scope", DOC, F.struct((-F.col("total_count")).alias("k"), "idx").alias("place"), "str", "idx", F.col("ident_count").alias("identCount"), F.col("prop_count").alias("propCount"), F.col("raw_count").alias("rawCount"), F.col("total_count").alias("totalCount"))
         js = _as_json(rows, DOC, "str", "idx", "identCount", "propCount", "rawCount", "totalCount")
-        return {self.name: self._named(js, ".json", "json").unionByName(self._named(strings_report(s), ".txt"))}
+        return {self.name: self._named(js, ".json", "json").unionByName(self._named(strings_report(s, compat=self.options.get("compat", False)), ".txt"))}
 
 
 class EntropyCode(Analysis):

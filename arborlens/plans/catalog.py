@@ -167,7 +167,7 @@ EVENT_RANKS = _rank_sql("events", "user_id", "ts, event_id", "event_type")
 
 @query(f"WITH {EVENT_RANKS} SELECT CAST(CASE WHEN dist >= 3 THEN -1 ELSE dist END AS INT) AS rank, CAST(count(*) AS BIGINT) AS hits FROM r GROUP BY 1")
 def mtf_rank_events(spark, sf_dir):
-    r = recency.mtf_ranks(T.table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+    r = recency.mtf_ranks(T.table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type", limit=64, chunk=1 << 20)
     return r.groupBy(F.when(F.col("dist") >= 3, -1).otherwise(F.col("dist")).alias("rank")).agg(F.count("*").alias("hits"))
 
 

@@ -75,6 +75,7 @@ def test_symbols(spark):
 def test_codes():
     assert code_points([0xD83D, 0xDE00, 0xD800, 0x61]) == [0x1F600, 0xD800, 0x61]
     assert wtf8([0xE9, 0xD800]) == b"\xc3\xa9\xed\xa0\x80"
+    assert code_points([0xD83D, 0xDE00], compat=True) == [0x10000 + (0x3D << 10)] and wtf8([0xE9, 0x1F600], compat=True) == b"\xe9\xf0\x9f\x98\x80"
 
 
 def test_json_walk():

@@ -212,6 +212,11 @@ def test_entropy_code(spark, tmp_path):
     assert coding.costs(rows, unseen).where("model like '%#bool' and raw is not null").count() > 0
     with pytest.raises(Exception, match="no size for symbol"):
         coding.costs(rows, unseen, compat=True).collect()
+    old = coding.symbol_rows(nodes, "subpath", 8, words, compat=True)
+    assert old.where("raw is not null and hex(raw) rlike '[^0]'").count() == 0
+    # The other script knows x and y already when its own strings come.
+    misses = lambda r: r.where("c2 = 'escape' and subpath = 's1.js'").count()
+    assert misses(old) <= misses(rows)
 
 
 def test_double_bytes(spark):
@@ -318,3 +323,13 @@ def test_uses(spark):
     u = spark.createDataFrame([(1, 20, "x"), (1, 20, "y"), (1, 60, "y"), (2, 5, "x")], "doc long, pos int, name string")
     got = {(r.doc, r.pos, r.name): (r.scope, r.captured) for r in scopes.resolve_uses(u, s, n, ["doc"]).collect()}
     assert got == {(1, 20, "x"): (1, True), (1, 20, "y"): (2, False), (1, 60, "y"): (None, False), (2, 5, "x"): (None, False)}
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 50, 10_000])
+def test_chunked_ranks(spark, chunk):
+    """A stream that spans many chunks has the ranks of one group."""
+    rnd = random.Random(chunk)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), t, rnd.choice(["x", "y", "z", "u", "v", None])) for t in range(300 if chunk > 1 else 40)]
+    df = spark.createDataFrame(rows, "s string, t long, v string").repartition(3)
+    whole, cut = (recency.mtf_ranks(df, ["s"], ["t"], "v", 4, chunk=c).collect() for c in (None, chunk))
+    assert {(r.s, r.t): r.dist for r in cut} == {(r.s, r.t): r.dist for r in whole} and len(cut) == len(rows)
