@@ -18,7 +18,7 @@ def _sizes(text: str) -> list[int]:
 
 def arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="arborlens", description="Statistics and entropy coding of corpora of typed trees.")
-    p.add_argument("--script-dir", required=True, help="corpus: files *.js that hold parser trees as JSON")
+    p.add_argument("--script-dir", required=True, help="corpus: files *.js")
     p.add_argument("--result-dir", required=True, help="store of results; a new directory or one with its marker file")
     p.add_argument("--schema", required=True, help="interface definitions of the trees")
     p.add_argument("--string-window", action="store_true")
@@ -29,6 +29,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--global-strings", action="store_true")
     p.add_argument("--entropy-code", action="store_true")
     p.add_argument("--least-size", type=int, default=100_000, help="bytes from which a script is coded")
+    p.add_argument("--trees", action="store_true", help="the files hold parser trees as JSON, not source text")
     p.add_argument("--compat", action="store_true", help="reproduce known slips, see the README")
     return p
 
@@ -67,7 +68,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     schema = compile_idl(Path(options.schema).read_text(), compat=options.compat)
     scripts, results = Store.open(spark, options.script_dir), Store.create(spark, options.result_dir)
-    analyze(Corpus.read(spark, schema, scripts.texts(), compat=options.compat), wanted(options), results)
+    corpus = Corpus.read(spark, schema, scripts.texts(), compat=options.compat, **({"parser": None} if options.trees else {}))
+    analyze(corpus, wanted(options), results)
     return 0
 
 

@@ -19,6 +19,7 @@ from arborlens.operators.ordering import global_index
 from arborlens.schema import views
 from arborlens.schema.types import Schema
 from arborlens.sources import store as stores
+from arborlens.sources.es5 import parse_script
 from arborlens.sources.syntax import lift_script
 from arborlens.sources.typed_trees import typed_nodes
 
@@ -178,8 +179,8 @@ class Corpus:
     results: dict = field(default_factory=dict)
 
     @classmethod
-    def read(cls, spark: SparkSession, schema: Schema, files: DataFrame, *, parser=None, compat: bool = False, errors: str = "raise") -> Corpus:
-        """``parser`` turns a script's text into a parser tree (an object); without one the texts are such trees as JSON."""
+    def read(cls, spark: SparkSession, schema: Schema, files: DataFrame, *, parser=parse_script, compat: bool = False, errors: str = "raise") -> Corpus:
+        """``parser`` turns a script's text into a parser tree (an object); where it is None the texts are such trees as JSON."""
         lift = lambda text: lift_script(schema, parser(text) if parser else text, compat)
         nodes = typed_nodes(files, schema, "Script", id_col=DOC, text_col="text", read=lift, errors=errors)
         return cls(spark, schema, files, nodes.persist(StorageLevel.MEMORY_AND_DISK), compat)

@@ -80,12 +80,12 @@ def _nodes(df: DataFrame, id_col: str, text_col: str, walk) -> DataFrame:
 
 
 def json_nodes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Locations of JSON documents. A text that isn't JSON is one string."""
+    """Locations of JSON documents. A text that isn't JSON, or nests too deeply to be read, is one string."""
 
     def walk(text):
         try:
             return json_walk(json.loads(text))
-        except ValueError:
+        except (ValueError, RecursionError):
             return json_walk(text)
 
     return _nodes(df, id_col, text_col, walk)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from arborlens.schema.types import NULL, Name, Record, Schema, SchemaError, Variant, brief, pretty
 
+#: Calls that reading one document may nest.
+DEEPEST = 20_000
 PATH = "array<struct<key:string,idx:int,n:int,iface:string,is_node:boolean>>"
 #: Columns of a location; ``last_seq`` is the last location below it, so a walk ends it after that one.
 COLUMNS = {
@@ -58,12 +60,17 @@ def read_json(schema: Schema, value, bound: tuple):
     return value
 
 
+def _valid(text: str) -> str:
+    """A text that UTF-8 can hold: halves of surrogate pairs that stand alone become escapes."""
+    return text.encode("utf-8", "backslashreplace").decode("utf-8")
+
+
 def _text(value) -> str | None:
     if value is None or isinstance(value, bool):
         return {None: "null", True: "true", False: "false"}[value]
     if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
         return str(int(value))
-    return None if isinstance(value, (Record, list, tuple)) else str(value)
+    return None if isinstance(value, (Record, list, tuple)) else _valid(str(value))
 
 
 def walk(schema: Schema, root: Record) -> list[tuple]:
@@ -78,7 +85,7 @@ def walk(schema: Schema, root: Record) -> list[tuple]:
         path = (*above, (key, index, n, what if iface else None, node))
         tag, at, alphabet = schema.value_symbol(value, (kind, what)) or (None, None, ())
         seq = len(rows)
-        strings = (what, str(value)) if kind == "ident" else ("raw", value) if (kind, what) == ("prim", "str") else (None, None)
+        strings = (what, _valid(value)) if kind == "ident" else ("raw", _valid(value)) if (kind, what) == ("prim", "str") else (None, None)
         number = float(value) if kind == "prim" and what in ("uint", "int", "f64") else None
         rows.append([seq, parent, depth, seq, key, index, n, pretty(bound), kind, pretty((kind, what)), symbol, len(schema.type_set(bound)), node, tag, at, alphabet[at] if tag else None, len(alphabet) if tag else None, *strings, number, _text(value), path])
         if iface is not None:
@@ -109,8 +116,11 @@ def typed_nodes(df: DataFrame, schema: Schema, root: str, *, id_col: str, text_c
         return read(text) if read else read_json(schema, json.loads(text), ("iface", root))
 
     def run(batches):
+        import sys
+
         import pyarrow as pa
 
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
         step = pa.struct([("key", pa.string()), ("idx", pa.int32()), ("n", pa.int32()), ("iface", pa.string()), ("is_node", pa.bool_())])
         kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), PATH: pa.list_(step)}
         names = [id_col, *COLUMNS]

@@ -7,7 +7,7 @@ from arborlens.functions.text_codes import code_points, wtf8
 from arborlens.operators.contexts import with_suffixes
 from arborlens.operators.range_coder import Reader, Writer
 from arborlens.operators.recency import distances
-from arborlens.sources.trees import json_walk
+from arborlens.sources.trees import json_nodes, json_walk
 
 
 def test_range_coder_golden():
@@ -80,3 +80,9 @@ def test_codes():
 
 def test_json_walk():
     assert [(d, k, i, t, v) for d, _, k, i, _, t, v in json_walk({"b": [1, None], "a": "x"})] == [(0, "$Root", None, "object", None), (1, "a", None, "string", "x"), (1, "b", None, "array", None), (2, None, 0, "number", "1"), (2, None, 1, "null", None)]
+
+
+def test_json_nodes(spark):
+    df = spark.createDataFrame([(1, "{}"), (2, "no"), (3, "[" * 200_000), (4, None)], "id long, t string")
+    got = sorted((r.id, r.type_name) for r in json_nodes(df, "id", "t").collect())
+    assert got == [(1, "object"), (2, "string"), (3, "string")]

@@ -17,6 +17,7 @@ from arborlens.schema import views
 from arborlens.schema.idl import compile_idl, symbol_name
 from arborlens.schema.types import Name, Record, SchemaError, Variant
 from arborlens.sources import sinks, store
+from arborlens.sources.es5 import parse_script, string_value
 from arborlens.sources.syntax import Lifter, lift_script
 from arborlens.sources.tables import table_schema
 from arborlens.sources.typed_trees import typed_nodes, walk
@@ -275,8 +276,8 @@ def test_sinks(capsys):
 
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in" / "sub").mkdir(parents=True)
-    (tmp_path / "in" / "one.js").write_text(json.dumps(P.FIRST))
-    (tmp_path / "in" / "sub" / "two.js").write_text(json.dumps(P.SECOND))
+    (tmp_path / "in" / "one.js").write_text("x;")
+    (tmp_path / "in" / "sub" / "two.js").write_text("var x = 1; x = x + x.y;")
     (tmp_path / "in" / "note.txt").write_text("no script")
     (tmp_path / "s.webidl").write_text(P.IDL)
     out = tmp_path / "out"
@@ -333,3 +334,98 @@ def test_chunked_ranks(spark, chunk):
     df = spark.createDataFrame(rows, "s string, t long, v string").repartition(3)
     whole, cut = (recency.mtf_ranks(df, ["s"], ["t"], "v", 4, chunk=c).collect() for c in (None, chunk))
     assert {(r.s, r.t): r.dist for r in cut} == {(r.s, r.t): r.dist for r in whole} and len(cut) == len(rows)
+
+
+def brief(n):
+    """A parser tree in short: operators and names with what they hold."""
+    if not isinstance(n, dict):
+        return n if not isinstance(n, list) else [brief(x) for x in n]
+    rest = [brief(v) for k, v in n.items() if k != "type"]
+    kind = n["type"]
+    if kind in ("IdentifierExpression", "AssignmentTargetIdentifier", "BindingIdentifier", "LiteralNumericExpression", "LiteralStringExpression", "StaticPropertyName"):
+        return rest[0]
+    return (kind.removesuffix("Expression").removesuffix("Statement"), *rest)
+
+
+def test_parser_golden():
+    assert parse_script("x;") == P.FIRST and parse_script("var x = 1; x = x + x.y;") == P.SECOND
+    assert parse_script("'use strict'; \"b\\n\"\nf()")["directives"] == [{"type": "Directive", "rawValue": "use strict"}, {"type": "Directive", "rawValue": "b\\n"}]
+    assert parse_script("('no');")["directives"] == [] and len(parse_script("'a' + b")["statements"]) == 1
+
+
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ("a + b * c - d", ("Binary", "-", ("Binary", "+", "a", ("Binary", "*", "b", "c")), "d")),
+        ("a = b ? c : d = 1, e", ("Binary", ",", ("Assignment", "a", ("Conditional", "b", "c", ("Assignment", "d", 1.0))), "e")),
+        ("a || b && !c in d", ("Binary", "||", "a", ("Binary", "&&", "b", ("Binary", "in", ("Unary", "!", "c"), "d")))),
+        ("x /= 2 / y / z", ("CompoundAssignment", "/=", "x", ("Binary", "/", ("Binary", "/", 2.0, "y"), "z"))),
+        ("f(/[/]a\\//gi, 1)[0].b++", ("Update", False, "++", ("StaticMemberAssignmentTarget", ("ComputedMember", ("Call", "f", [("LiteralRegExp", "[/]a\\/", True, True, False, False, False), 1.0]), 0.0), "b"))),
+        ("new a.b(c).d(e)", ("Call", ("StaticMember", ("New", ("StaticMember", "a", "b"), ["c"]), "d"), ["e"])),
+        ("new new X", ("New", ("New", "X", []), [])),
+        ("[, 1, , 'x',]", ("Array", [None, 1.0, None, "x"])),
+        ("typeof void delete a.b", ("Unary", "typeof", ("Unary", "void", ("Unary", "delete", ("StaticMember", "a", "b"))))),
+        ("--a.if, ++b", ("Binary", ",", ("Update", True, "--", ("StaticMemberAssignmentTarget", "a", "if")), ("Update", True, "++", "b"))),
+        ("0x1F + 017 + .5e1 + 1e999", ("Binary", "+", ("Binary", "+", ("Binary", "+", 31.0, 15.0), 5.0), ("LiteralInfinity",))),
+        ("x = {a: 1, 'b c': 2, 3: 4, get d() {return 1}, set e(v) {}, get: 5, if: 6, g}", None),
+        ("(function f(a, b) { 'own'; return a })(this, null, true)", None),
+    ],
+)
+def test_parser_expressions(source, want):
+    (made,) = parse_script(source)["statements"]
+    assert made["type"] == "ExpressionStatement" and (want is None or brief(made["expression"]) == want)
+
+
+def test_parser_statements():
+    source = """#!/usr/bin/env js
+    /* a
+    comment */ var a = 1, b
+    let c; const d = /x/.test(a) // end
+    function f(x, y) { return x
+      + y }
+    if (a) b(); else { ; }
+    for (var i = 0, n = 2; i < n; i++) continue
+    for (k in o) if ("k" in o) break
+    for (var q in (1, o)) ;
+    for (;;) { break }
+    outer: while (true) { do x--; while (x) continue outer }
+    switch (a) { case 1: b(); case 2: break; default: c = 1; case 3: }
+    switch (a) { case 1: }
+    try { throw e } catch (e) { e } finally { }
+    try { } catch (z) { }
+    with (o) p()
+    debugger
+    let
+    i
+    ++
+    j
+    return_ = function () { return
+      1 }
+    """
+    made = parse_script(source)["statements"]
+    kinds = [s["type"].removesuffix("Statement") for s in made]
+    assert kinds == "VariableDeclaration VariableDeclaration VariableDeclaration FunctionDeclaration If For ForIn ForIn For Labeled SwitchStatementWithDefault Switch TryFinally TryCatch With Debugger VariableDeclaration Expression Expression".split()
+    assert [len(made[10][k]) for k in ("preDefaultCases", "postDefaultCases")] == [2, 1]
+    assert brief(made[3]["body"]["statements"][0]) == ("Return", ("Binary", "+", "x", "y"))
+    assert made[16]["declaration"]["declarators"][0]["binding"]["name"] == "i" and brief(made[17])[1] == ("Update", True, "++", "j")
+    assert [s["type"] for s in made[18]["expression"]["expression"]["body"]["statements"]] == ["ReturnStatement", "ExpressionStatement"]
+    Lifter(SCHEMA)
+    for bad in ("a b", "var 1", "x = ", "(", "class A {}", "1 = 2", "throw\n1", "'a\nb'", "for (x of y) ;", "if (", "{", "a => b", "§", "try { }"):
+        with pytest.raises(SchemaError):
+            parse_script(bad)
+
+
+def test_strings():
+    assert string_value(r"a\x41\u0042\u{1F600}\n\0\101\
+b\q\uD83D\uDE00") == "aAB\U0001f600\n\0Abq\U0001f600"
+    assert string_value(r"\ud800") == "\ud800"
+
+
+def test_source_corpus(spark):
+    """Scripts go from source to locations; a deep one too, and one that can't be read is reported."""
+    sources = {"a.js": "var s = '\\ud800', t = function g(a) { return a; };", "b.js": "x = " + " + ".join(["x"] * 1500), "c.js": "this is no script"}
+    files = spark.createDataFrame([(k, len(v), v) for k, v in sources.items()], "subpath string, size long, text string")
+    corpus = analyses.Corpus.read(spark, SCHEMA, files, errors="report")
+    got = {r.subpath: (r.n, r.e) for r in corpus.nodes.groupBy("subpath").agg(F.count("seq").alias("n"), F.max("error").alias("e")).collect()}
+    assert got["a.js"][0] > 30 and got["a.js"][1] is None and got["b.js"][0] > 4500 and "line 1" in got["c.js"][1]
+    assert corpus.nodes.where("str_kind = 'raw'").first()["str_value"] == "\\ud800"
