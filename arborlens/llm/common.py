@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 _U64 = np.uint64
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that Python workers get at once while a table is written.
+BATCH_ROWS = 2000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,13 +47,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    # What was shuffled for the table is of no use once it is written.
-    kept = spark.conf.get(_CLEANUP)
+    # What was shuffled for the table is of no use once it is written; and Python gets a few texts at a time.
+    kept = {c: spark.conf.get(c) for c in (_CLEANUP, _BATCH)}
+    rows = int(kept[_BATCH])
     spark.conf.set(_CLEANUP, "true")
+    spark.conf.set(_BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, kept)
+        for c, v in kept.items():
+            spark.conf.set(c, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

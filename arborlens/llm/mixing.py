@@ -8,6 +8,8 @@ from a hash of the id, so the sample is the same on every run and needs no shuff
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +19,8 @@ from arborlens.llm.common import cut, forget
 #: Sweeps over all dimensions between two writes of the cells, and at most.
 SWEEPS, ROUNDS = 4, 12
 TOLERANCE = 1e-10
+#: Cells that one partition holds; more are an error, as dimensions of so many values aren't meant.
+MOST_CELLS = 1_000_000
 
 
 def n_tokens(text):
@@ -29,7 +33,7 @@ def rake(cells: DataFrame, targets: dict[str, float | dict]) -> DataFrame:
 
     A target is a dict value -> weight, or a number alpha: the observed shares to that power. Weights are
     normalised; values that a dict lacks get none. Where targets contradict the cells that exist, the sweeps end
-    after ROUNDS * SWEEPS with the last dimension met. The cells are the combinations of dimension values, a
+    after ROUNDS * SWEEPS with the last dimension met, and a warning says by how much others are missed. The cells are the combinations of dimension values, a
     table of bounded size whatever the number of documents; they are kept in one partition.
     """
     one = cells.coalesce(1)
@@ -60,6 +64,8 @@ def rake(cells: DataFrame, targets: dict[str, float | dict]) -> DataFrame:
             off = max(off or 0.0, miss or 0.0)
         if off < TOLERANCE:
             break
+    else:
+        warnings.warn(f"targets contradict the cells: a marginal is off by {off:.3g}", stacklevel=2)
     return one.drop(*(f"_goal_{d}" for d in targets))
 
 
@@ -96,6 +102,8 @@ def sample_mix(df: DataFrame, targets: dict[str, float | dict], *, id_col: str =
     dims = list(targets)
     rows = df.withColumn("n_tokens", n_tokens(F.col(text_col)))
     cells = cut(rows.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")))
+    if (n := cells.count()) > MOST_CELLS:
+        raise ValueError(f"{n} cells of {', '.join(dims)}; {MOST_CELLS} are the most")
     total = F.sum(F.col("tokens").cast("double")).over(Window.partitionBy(F.lit(1)))
     rate = F.when(F.col("tokens") > 0, F.col("w") * total / F.col("tokens")).otherwise(1.0)
     rates = rake(cells, targets).withColumn("rate", rate)

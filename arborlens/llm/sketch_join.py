@@ -42,18 +42,18 @@ class Limits:
     #: Documents of one flush with a common key from which only the first goes to the shuffle.
     local_group: int = 64
     #: Bytes of text and number of documents that are hashed at once; a longer text is taken alone.
-    flush_bytes: int = 3 << 20
+    flush_bytes: int = 2 << 20
     flush_docs: int = 16384
     #: Keys of a task that are grouped at once.
     slice_keys: int = 1 << 17
     #: Rows of one frequent key on either side of a block.
     block: int = 2048
     #: Rows of frequent keys with the same first document that one task compares.
-    lead_rows: int = 1 << 14
+    lead_rows: int = 2048
 
 
 #: 64-bit words that a product of sketches holds.
-PRODUCT_WORDS = 1 << 21
+PRODUCT_WORDS = 1 << 20
 #: Whole sketches have two to four bits per shingle within these limits.
 LEAST_BYTES, MOST_BYTES = 8, 1 << 13
 #: Ids of documents to verify up to which they are broadcast (8 MB); beyond, they are joined by a shuffle.
@@ -575,6 +575,8 @@ def _across(unsafe: DataFrame, info: DataFrame, comps: DataFrame, num: int, den:
     pairs of a document with one component the one of the least distance is returned; ``again`` names documents
     of which all pairs are. A key's documents are dealt to blocks of at most about ``block`` rows on either side.
     """
+    if again is not None:  # keys of none of these documents have nothing to compare
+        unsafe = unsafe.join(unsafe.join(again.select("id"), "id", "left_semi").select("key").distinct(), "key", "left_semi")
     known = unsafe.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     counted = known.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("id").alias("lead"))
     stats = counted.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("t"), F.sum("c").alias("g"), F.min("lead").alias("lead"), F.count("*").alias("k")).where("k > 1")

@@ -41,6 +41,9 @@ def test_exact(spark):
     assert left.columns == ["doc_id", "text", "lang", "_text", "component"]
     assert sorted((r.doc_id, r.text) for r in left.collect() if r.doc_id != 6) == [(1, "a"), (3, None), (5, "A")]
     assert exact_dedup.mark_duplicates(docs(spark, rows).limit(0)).count() == 0
+    alike = {r.doc_id: r.group_size for r in exact_dedup.mark_duplicates(docs(spark, [(1, "A b"), (2, "a B"), (3, "c")]), normalize=F.lower).collect()}
+    assert alike == {1: 2, 2: 2, 3: 1}
+    assert sorted(r.text for r in exact_dedup.drop_duplicates(docs(spark, [(1, "A b"), (2, "a B"), (3, "c")]), normalize=F.lower).collect()) == ["A b", "c"]
 
 
 def test_shards(spark):
@@ -108,7 +111,7 @@ def shingles(text, width):
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
 
-SMALL = sketch_join.Limits(small_group=3, local_group=5, flush_bytes=4000, flush_docs=20, slice_keys=64, block=6)
+SMALL = sketch_join.Limits(small_group=3, local_group=5, flush_bytes=4000, flush_docs=20, slice_keys=64, block=6, lead_rows=40)
 
 
 def near_copies(rnd, words, sizes, copies, edits):
@@ -138,7 +141,7 @@ def held_against_brute_force(spark, rows, width, num, limits):
     assert all(got[i][0] in [len(x) for x in sets[i]] for i in want)
 
 
-@pytest.mark.parametrize("width,num", [(4, 85), (5, 80), (2, 50), (1, 95)])
+@pytest.mark.parametrize("width,num", [(4, 85), (5, 80), (2, 50)])
 def test_sketch_join(spark, width, num):
     """Small limits: keys of many documents, several flushes and slices, blocks of frequent keys."""
     rnd = random.Random(width)
