@@ -282,7 +282,7 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "s.webidl").write_text(P.IDL)
     out = tmp_path / "out"
     argv = ["--script-dir", str(tmp_path / "in"), "--result-dir", str(out), "--schema", str(tmp_path / "s.webidl")]
-    assert cli.main([*argv, "--string-window", "--string-window-sizes", "2,4", "--pretty-print", "--path-suffix", "--path-suffix-length", "2", "--global-strings", "--entropy-code", "--least-size", "10"]) == 0
+    assert cli.main([*argv, "--string-window", "--string-window-sizes", "2,4", "--pretty-print", "--path-suffix", "--path-suffix-length", "2", "--global-strings", "--entropy-code", "--least-size", "1"]) == 0
     found = {str(p.relative_to(out)) for p in out.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
     assert {"WRITABLE", "path-suffix/2/ALL.json", "path-suffix/2/one.txt", "path-suffix/2/sub/two.json", "string-window/4/ALL.txt", "string-window/2/sub/two.json", "global-strings/ALL.json", "pretty-print/one.txt", "entropy-code/sub/two.TSC", "entropy-code/report/one.txt"} <= found
     tables = json.loads((out / "path-suffix/2/one.json").read_text())
