@@ -35,14 +35,18 @@ def unescape(col):
     return col
 
 
+def _head(role):
+    return F.concat(F.lit(START), F.replace(escape(role), F.lit("\n"), F.lit(f"{ESC}9")), F.lit("\n"))
+
+
 def _turns(df: DataFrame, conv_col, turn_col, role_col, text_col, budget: int, history_turns: int, history_budget: int) -> DataFrame:
-    """A row per turn: its place ``i``, the formatted head ``h`` and body ``b``, its tokens ``k``, how many turns before it a window
-    that begins with it repeats (``past``), whether the system turn stands before those (``keep``), and the tokens of such a beginning."""
+    """A row per turn: its place ``i``, role and text, the lengths of its formatted head and body, its tokens ``k``, how many turns before it
+    a window that begins with it repeats (``past``), whether the system turn stands before those (``keep``), and the tokens of such a beginning."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     role = F.coalesce(F.col(role_col).cast("string"), F.lit(""))
-    head = F.concat(F.lit(START), F.replace(escape(role), F.lit("\n"), F.lit(f"{ESC}9")), F.lit("\n"))
-    rows = df.select(F.col(conv_col).alias("_conv"), F.col(turn_col).alias("_turn"), role.alias("_role"), text.alias("_text"), head.alias("h"), escape(text).alias("b"))
-    rows = rows.withColumn("k", F.ceil((F.length("h") + F.length("b") + len(END) + 1) / CHARS_PER_TOKEN).cast("long"))
+    head, body = F.length(_head(role)), F.length(escape(text))
+    rows = df.select(F.col(conv_col).alias("_conv"), F.col(turn_col).alias("_turn"), role.alias("_role"), text.alias("_text"), head.alias("head"), body.alias("body"))
+    rows = rows.withColumn("k", F.ceil((F.col("head") + F.col("body") + len(END) + 1) / CHARS_PER_TOKEN).cast("long"))
     w = Window.partitionBy("_conv").orderBy("_turn", "_role", "_text")
     rows = rows.withColumns({"i": F.row_number().over(w) - 1, "k0": F.first("k").over(w), "sys": (F.first("_role").over(w) == "system").cast("int"), **{f"sum{n}": F.sum("k").over(w.rowsBetween(-n, -1)) for n in range(1, history_turns + 1)}})
     rows = rows.withColumn("keep", F.when((F.col("sys") == 1) & (F.col("i") > 0) & (F.col("k0") + F.col("k") <= budget), 1).otherwise(0))
@@ -51,7 +55,7 @@ def _turns(df: DataFrame, conv_col, turn_col, role_col, text_col, budget: int, h
     for n in range(1, history_turns + 1):
         fits = (F.col("i") - F.col("sys") >= n) & (F.col(f"sum{n}") <= history_budget) & (own + F.col(f"sum{n}") <= budget)
         past, spent = F.when(fits, n).otherwise(past), F.when(fits, F.col(f"sum{n}")).otherwise(spent)
-    return rows.select("_conv", "i", "h", "b", "k", (F.col("_role") == "assistant").alias("target"), past.alias("past"), "keep", (own + spent).alias("begins"))
+    return rows.select("_conv", "i", "_role", "_text", "head", "body", "k", past.alias("past"), "keep", (own + spent).alias("begins"))
 
 
 def format_chat(df: DataFrame, *, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text", budget: int = 2048, history_turns: int = 2, history_budget: int = 512) -> DataFrame:
@@ -72,16 +76,18 @@ def format_chat(df: DataFrame, *, conv_col="conv_id", turn_col="turn", role_col=
     cuts = numbers.select("_conv", F.size("t").alias("n"), "t", F.expr(starts.format(budget=budget)).alias("starts"))
     spans = cuts.selectExpr("_conv", "inline(transform(starts, (at, w) -> struct(w as window, at as at, coalesce(get(starts, w + 1), n) as to, if(w = 0, 0, t[at].past) as past, if(w = 0, 0, t[at].keep) as keep)))")
     held = spans.selectExpr("_conv as _own", "window", "at", "explode(concat(if(keep = 1, array(0), cast(array() as array<int>)), sequence(at - past, to - 1))) as place")
-    rows = held.join(turns, F.expr("_own <=> _conv and place = i"))
+    # Texts travel as they are, and are formatted where their window is put together.
+    rows = held.join(turns.select("_conv", "i", "_role", "_text", "head", "body", "k"), F.expr("_own <=> _conv and place = i"))
     tail = f"{END}\n"
-    size = F.length("h") + F.length("b") + len(tail)
+    size = F.col("head") + F.col("body") + len(tail)
     before = F.coalesce(F.sum(size).over(Window.partitionBy("_own", "window").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumns({"first": before + F.length("h") + 1, "fresh": F.col("place") >= F.col("at")})
-    parts = rows.groupBy("_own", "window").agg(F.array_sort(F.collect_list(F.struct("place", F.concat("h", "b", F.lit(tail)).alias("said"), (F.col("fresh") & F.col("target")).alias("loss"), "first", F.length("b").cast("long").alias("size")))).alias("p"), F.sum("k").alias("n_tokens"), F.count_if(~F.col("fresh")).alias("n_repeated"))
+    rows = rows.withColumns({"first": before + F.col("head") + 1, "fresh": F.col("place") >= F.col("at")})
+    turn = F.struct("place", "_role", "_text", (F.col("fresh") & (F.col("_role") == "assistant")).alias("loss"), "first", F.col("body").cast("long").alias("size"))
+    parts = rows.groupBy("_own", "window").agg(F.array_sort(F.collect_list(turn)).alias("p"), F.sum("k").alias("n_tokens"), F.count_if(~F.col("fresh")).alias("n_repeated"))
     return parts.select(
         F.col("_own").alias(conv_col),
         F.col("window").cast("long").alias("window"),
-        F.array_join(F.transform("p", lambda x: x["said"]), "").alias("text"),
+        F.array_join(F.transform("p", lambda x: F.concat(_head(x["_role"]), escape(x["_text"]), F.lit(tail))), "").alias("text"),
         "n_repeated",
         F.transform(F.filter("p", lambda x: x["loss"]), lambda x: F.struct(x["first"].alias("start"), x["size"].alias("length"))).alias("loss"),
         "n_tokens",

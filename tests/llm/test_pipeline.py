@@ -25,6 +25,9 @@ def test_stages(spark, tmp_path):
     assert mixed.columns == docs.columns and 20 <= mixed.count() <= 60
     packed = stage["packing"](spark, mixed, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in mixed.collect()}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in whole.collect() if r.start == 0) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in packed if r.start == 0)
 
 
 def test_mixing_keeps_its_budget(spark, tmp_path):
