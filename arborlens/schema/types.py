@@ -7,7 +7,7 @@ flattened, ("named", name) or ("union", (types...)). Tuples compare by value, so
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cache, cached_property
 
 #: Primitive types in the order of their symbols.
 PRIMITIVES = ("null", "bool", "uint", "int", "f64", "str")
@@ -68,6 +68,7 @@ def optional(t: tuple) -> tuple:
     return ("union", (NULL, t))
 
 
+@cache
 def pretty(t: tuple) -> str:
     kind, what = t
     if kind == "union":
@@ -155,15 +156,15 @@ class Schema:
             return isinstance(value, Name)
         if kind == "array":
             return isinstance(value, (list, tuple)) and all(self.fits(x, what) for x in value)
-        number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        return {
-            "null": value is None,
-            "bool": isinstance(value, bool),
-            "uint": number and value == value // 1 and value >= 0 if number else False,
-            "int": number and value == value // 1 if number else False,
-            "f64": number,
-            "str": isinstance(value, str) and not isinstance(value, Name),
-        }[what]
+        if what == "null":
+            return value is None
+        if what == "bool":
+            return isinstance(value, bool)
+        if what == "str":
+            return isinstance(value, str) and not isinstance(value, Name)
+        if not isinstance(value, (int, float)) or isinstance(value, bool):
+            return False
+        return what == "f64" or (value == value // 1 and (what == "int" or value >= 0))
 
     def resolve(self, value, bound: tuple) -> tuple[int, tuple]:
         """(symbol, type) of the one member of the bound's type set that the value fits. None and several are errors: an

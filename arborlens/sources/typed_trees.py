@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,7 +107,7 @@ def typed_nodes(df: DataFrame, schema: Schema, root: str, *, id_col: str, text_c
     """(id, locations) of documents that hold values of the interface ``root``; without ``read`` they are JSON.
 
     Null texts have no location. A document that doesn't fit its schema ends the job, or with ``errors="report"``
-    has one row with nothing but ``error``.
+    has one row with nothing but ``error`` and an empty path.
     """
     if errors not in ("raise", "report"):
         raise ValueError("errors must be raise or report")
@@ -127,9 +128,13 @@ def typed_nodes(df: DataFrame, schema: Schema, root: str, *, id_col: str, text_c
 
         def table(ids, rows, kind):
             columns = list(zip(*rows, strict=True))
-            at = list(COLUMNS).index("path")
-            columns[at] = [None if p is None else [dict(zip(step.names, s, strict=True)) for s in p] for p in columns[at]]
-            return pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array(c, kinds[k]) for c, k in zip(columns, COLUMNS.values(), strict=True))], names=names)
+            paths = columns.pop(list(COLUMNS).index("path"))
+            steps = list(zip(*(s for p in paths for s in p or ()), strict=True)) or [()] * len(step)
+            ends = list(accumulate((len(p or ()) for p in paths), initial=0))
+            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(steps, step, strict=True)], fields=list(step)))
+            arrays = [pa.array(c, kinds[k]) for c, k in zip(columns, (k for k in COLUMNS.values() if k != PATH), strict=True)]
+            arrays.insert(list(COLUMNS).index("path"), held)
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), *arrays], names=names)
 
         for batch in batches:
             ids, rows, kind = [], [], batch.schema.types[0]
