@@ -145,7 +145,7 @@ def ranked_report(spark, sf_dir):
 def suffix_specificity_order(spark, sf_dir):
     rows = T.order_symbols(spark, sf_dir, [1, 2, 3], True)
     t = frequencies.by_specificity(rows.groupBy("suffix", "tag").agg(F.count("*").alias("hits")))
-    return global_index(t, [F.desc("slashes"), F.desc("hits"), "suffix", "tag"], "place").withColumn("place", (F.col("place") + 1).cast("int"))
+    return global_index(t, [-F.col("slashes"), -F.col("hits"), "suffix", "tag"], "place").withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 @query("SELECT 'LineItem.linestatus' AS suffix, CAST(count(*) AS BIGINT) AS hits FROM lineitem")

@@ -303,6 +303,40 @@ def test_global_index(spark):
     assert all(r.v == r.idx for r in global_index(df, ["v"]).collect())
 
 
+@pytest.fixture(params=["false", "true"])
+def many_ranges(spark, request):
+    """Sorts fall into several ranges: partitions are kept, or merged by the bytes that each read of them has."""
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": request.param, "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.shuffle.partitions": "16"}
+    kept = {c: spark.conf.get(c) for c in own}
+    for c, v in own.items():
+        spark.conf.set(c, v)
+    yield
+    for c, v in kept.items():
+        spark.conf.set(c, v)
+
+
+def test_global_index_in_ranges(spark, many_ranges):
+    df = spark.range(20_000, numPartitions=7).select((F.col("id") * 7919 % 20_000).alias("v"), F.repeat(F.lit("x"), 40).alias("more"))
+    odd = df.select(F.when(F.col("v") > 0, F.struct((F.col("v") / 100).cast("long").alias("a"), F.format_string("%05d", "v").alias("b"))).alias("key"), "v", "more")
+    for rows in (global_index(df, ["v"]), global_index(odd, ["key"]), global_index(df, [(-F.col("v"))]).withColumn("idx", 19_999 - F.col("idx"))):
+        assert sorted((r.v, r.idx) for r in rows.collect()) == [(i, i) for i in range(20_000)]
+    assert global_index(df, ["v"], "at").columns == ["v", "more", "at"] and global_index(df.where("v < 0"), ["v"]).count() == 0
+
+
+def test_global_strings_in_ranges(spark, many_ranges, tmp_path):
+    from arborlens.plans import catalog
+
+    rnd = random.Random(3)
+    turns = [(c, t, rnd.choice(["user", "assistant"]), f"text {rnd.randrange(12_000)} " + "y" * 30) for c in range(2000) for t in range(4)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").repartition(7).write.parquet(f"{tmp_path}/conversations.parquet")
+    want: dict = {}
+    for c, t, role, text in sorted(turns, key=lambda r: (str(r[0]), r[1])):
+        for s in (role, text):
+            want.setdefault(s, len(want))
+    got = catalog.queries()["global_strings_scoped"](spark, str(tmp_path)).where("scope = 'ALL'").collect()
+    assert sorted((r.str, r.idx) for r in got) == sorted(want.items())
+
+
 def test_token_ranks(spark):
     rnd = random.Random(5)
     rows = [(i, " ".join(rnd.choices("abcdefg", k=rnd.randint(0, 60)))) for i in range(20)] + [(99, None)]
